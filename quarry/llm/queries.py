@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import sentences
+from quarry.llm import bpe, leaks, sentences
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +32,41 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         "predictions": (table(spark, sf_dir, "predictions"), "sample_id", "Pred_combined_report"),
         "region_reports": (table(spark, sf_dir, "region_reports"), "row_id", "Sentence"),
     })
+
+
+@query("p6_ids")
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("p6_round_trip", "SELECT doc_id, coalesce(text, '') AS text FROM documents")
+def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts decoded from their ids."""
+    return bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+
+
+
+
+def _p7_sql(select: str) -> str:
+    def grams(key: str, src: str) -> str:
+        bare = "regexp_replace(text, '[\\x{00ad}\\x{200b}-\\x{200f}\\x{202a}-\\x{202e}\\x{2060}-\\x{2064}\\x{feff}]', '', 'g')"
+        words = f"regexp_extract_all(replace(lower(strip_accents({bare})), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+')"
+        return f"SELECT DISTINCT {key}, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - 10)) AS k FROM (SELECT {key}, {words} AS w FROM {src} WHERE text IS NOT NULL))"
+
+    return f"WITH d AS ({grams('doc_id', 'documents')}), i AS ({grams('item_id', 'eval_items')}), found AS (SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (g)) {select}"
+
+
+@query("p7_found", _p7_sql("SELECT doc_id, item_id FROM found"))
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+@query("p7_proximity")
+def p7_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.proximity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+@query("p7_items", _p7_sql("SELECT e.item_id, e.split, count(f.doc_id) AS n_docs FROM eval_items e LEFT JOIN found f USING (item_id) GROUP BY ALL"))
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "eval_items")
+    return leaks.leaked_items(leaks.passages(table(spark, sf_dir, "documents"), items), items)
