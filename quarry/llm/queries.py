@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import bpe, leaks, sentences
+from quarry.llm import bpe, leaks, sentences, spam
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +71,15 @@ def p7_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "eval_items")
     return leaks.leaked_items(leaks.passages(table(spark, sf_dir, "documents"), items), items)
+
+
+@query("p8_found")
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.spam_pages(table(spark, sf_dir, "documents"))
+
+
+@query("p8_hosts")
+def p8_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages and spam pages of each host."""
+    s = spam.scores(table(spark, sf_dir, "documents"))
+    return s.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("smoothed") > 0.5).alias("spam"))
