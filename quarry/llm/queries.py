@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, leaks, sentences, spam
+from quarry.llm import bpe, leaks, overlaps, sentences, spam
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +83,20 @@ def p8_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages and spam pages of each host."""
     s = spam.scores(table(spark, sf_dir, "documents"))
     return s.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("smoothed") > 0.5).alias("spam"))
+
+
+def _split_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "region_reports").select(F.lit("region_reports").alias("tbl"), F.col("row_id").alias("id"), "split", "source", F.col("Sentence").alias("text"))
+    p = table(spark, sf_dir, "predictions").select(F.lit("predictions").alias("tbl"), F.col("sample_id").alias("id"), "split", "source", F.col("GT_combined_report").alias("text"))
+    return r.unionByName(p)
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps.cross_split_pairs(_split_texts(spark, sf_dir))
+
+
+@query("p3_report")
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _split_texts(spark, sf_dir)
+    return overlaps.overlap_report(overlaps.cross_split_pairs(texts), texts)
