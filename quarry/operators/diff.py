@@ -23,6 +23,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quarry.functions.text import canonical_id
 
@@ -35,7 +36,7 @@ def squeezed(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), SPACE, " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _composed(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x.isascii() else " ".join(unicodedata.normalize("NFC", x).split()))
 
