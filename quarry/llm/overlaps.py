@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from quarry.llm import nearcopies as nc
 from quarry.plans.durable import cut
@@ -58,7 +59,7 @@ def _sketched(df: DataFrame, train: str, held: tuple[str, ...]) -> DataFrame:
     return texts.mapInPandas(each, "tbl string, id long, side string, cls long, n int, bands array<long>")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _near(a: pd.Series, b: pd.Series) -> pd.Series:
     out = []
     for x, y in zip(a, b):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, leaks, overlaps, sentences, spam
+from quarry.llm import bpe, leaks, overlaps, sentences, spam, truncation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +100,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _split_texts(spark, sf_dir)
     return overlaps.overlap_report(overlaps.cross_split_pairs(texts), texts)
+
+
+REPORTS = ("Pred_combined_report", "GT_combined_report")
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated(table(spark, sf_dir, "predictions"), "sample_id", REPORTS)
+
+
+@query("p5_rates")
+def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.rates(table(spark, sf_dir, "predictions"), "sample_id", REPORTS, "source")
