@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, leaks, overlaps, sentences, spam, truncation
+from quarry.llm import bpe, leaks, overlaps, pairs, sentences, spam, truncation
 from quarry.plans.workers import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p5_rates")
 def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.rates(table(spark, sf_dir, "predictions"), "sample_id", REPORTS, "source")
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.defects(table(spark, sf_dir, "predictions"))
+
+
+@query("p1_labels")
+def p1_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All retained labels of each row, with their posteriors."""
+    return pairs.labels(table(spark, sf_dir, "predictions"))
