@@ -22,7 +22,7 @@ def squeeze(c: Column) -> Column:
 
 
 def _split(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+(?=[A-Z])"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+(?=[A-Z])"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def sentences(c: Column) -> Column:
@@ -110,9 +110,32 @@ def clock(seconds: Column) -> Column:
     return F.format_string("%02d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
 
 
+def thousandths(v: Column) -> Column:
+    """A number from 0 to 1 in thousandths, rounded by its exact binary value with ties to even.
+
+    Neither ``round`` nor ``format_string`` does this: both round the shortest decimal form, so
+    0.5095 (just below that decimal) would become 510. Scaled by a power of two the double is a whole
+    number, which decimals compare with the middle between two thousandths without any error."""
+    small = v < 2.0**-9
+    k = F.floor(v * 1000).cast("long")
+    scale = F.when(small, 2.0**71).otherwise(2.0**62)
+    whole = F.when(v < 1, v * scale).otherwise(0.0).cast("long").cast("decimal(20,0)") * F.lit(2000).cast("decimal(10,0)")
+    unit = F.when(small, F.lit(str(2**71)).cast("decimal(24,0)")).otherwise(F.lit(str(2**62)).cast("decimal(24,0)"))
+
+    def up(k: Column) -> Column:
+        middle = (2 * k + 1).cast("decimal(10,0)") * unit
+        return F.when((whole > middle) | ((whole == middle) & (k % 2 == 1)), k + 1).otherwise(k)
+
+    # the product above may have been rounded up to the next thousandth
+    k = F.when(whole < (2 * k).cast("decimal(10,0)") * unit, k - 1).otherwise(k)
+    return F.when(v >= 1, F.round(v * 1000).cast("long")).otherwise(up(k))
+
+
 def metric_cell(v: Column, bold: Column) -> Column:
     """Three decimals without a leading zero, bold on demand."""
-    cell = F.regexp_replace(F.format_string("%.3f", F.bround(v, 3)), "^0", "")
+    k = thousandths(v)
+    whole = F.when(k >= 1000, F.floor(k / 1000).cast("string")).otherwise("")
+    cell = F.concat(whole, F.lit("."), F.lpad((k % 1000).cast("string"), 3, "0"))
     return F.when(bold, F.concat(F.lit("\\textbf{"), cell, F.lit("}"))).otherwise(cell)
 
 

@@ -63,4 +63,4 @@ def summary(scores: DataFrame, cat: DataFrame) -> DataFrame:
         F.when(F.lit(True), F.lit("or")), F.when(F.col("members") >= 3, F.lit("majority")), F.when(F.col("members") == 2, F.lit("and"))
     ), lambda x: x.isNotNull()))
     plan = named.select("fusion", each.alias("mode"))
-    return plan.join(scores, ["fusion", "mode"], "left").select("fusion", "mode", F.coalesce(F.format_string("%.4f", F.bround("micro_f1", 4)), F.lit("FAILED")).alias("cell"))
+    return plan.join(scores, ["fusion", "mode"], "left").select("fusion", "mode", F.when(F.col("micro_f1").isNotNull(), F.format_string("%.4f", F.bround("micro_f1", 4))).otherwise("FAILED").alias("cell"))

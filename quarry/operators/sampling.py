@@ -23,9 +23,10 @@ def epoch_order(df: DataFrame, key: str, seed: int, epoch: int) -> DataFrame:
 def buffered_shuffle(df: DataFrame, size: int = 100, seed: int = 0) -> DataFrame:
     """The rows of each partition through a shuffle buffer: once it is full, a random one of its rows
     leaves for each that comes, and at the end the rest leaves in random order."""
+    columns = df.columns
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rng, buffer, columns = random.Random(seed), [], df.columns
+        rng, buffer = random.Random(seed), []
         for b in batches:
             out = []
             for row in b.itertuples(index=False, name=None):

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import schemas
-from quarry.functions.text import canonical_id
+from quarry.functions.text import canonical_id, squeeze
 from quarry.operators.align import keep_first
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A CSV file with quoted line breaks and doubled quotes; ``ingest_ord`` keeps the file order."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("quote", '"')
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("quote", '"').option("lineSep", "\n").option("nullValue", "\x01")
     if schema:
         reader = reader.schema(schema)
     return reader.csv(path).withColumn("ingest_ord", F.monotonically_increasing_id())
@@ -36,7 +36,7 @@ def normalised(df: DataFrame, order: str = "ingest_ord") -> DataFrame:
 
 def labellable(df: DataFrame, key: str, text: str, order: str) -> DataFrame:
     """First row of each key, then only texts that are not blank: what a label model is run on."""
-    return keep_first(df, [key], order).filter(F.trim(F.col(text)) != "")
+    return keep_first(df, [key], order).filter(squeeze(F.col(text)) != "")
 
 
 def training_texts(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", one_file: bool
     """CSV that :func:`quarry.sources.predictions.read_csv` reads back as it was; null is an empty cell,
     empty text is ``""``."""
     out = df.coalesce(1) if one_file else df
-    out.write.mode(mode).option("header", True).option("escape", '"').option("quote", '"').option("emptyValue", '""').option("nullValue", "").csv(path)
+    out.write.mode(mode).option("header", True).option("escape", '"').option("quote", '"').option("emptyValue", '""').option("nullValue", "").option("lineSep", "\n").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def append_csv(df: DataFrame, path: str) -> None:
