@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.plans.number import numbered
+
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """The first row of each key in ingest order (``dropDuplicates`` promises no order).
@@ -43,7 +45,7 @@ def paired(base: DataFrame, ours: DataFrame, key: str, order: str) -> DataFrame:
     """Inner join with ``_base`` and ``_ours`` columns and a dense row number in base order."""
     b = base.select(key, *(F.col(c).alias(f"{c}_base") for c in base.columns if c != key))
     o = ours.select(key, *(F.col(c).alias(f"{c}_ours") for c in ours.columns if c != key))
-    return b.join(o, key).withColumn("row", F.row_number().over(Window.orderBy(f"{order}_base")) - 1)
+    return numbered(b.join(o, key), f"{order}_base")
 
 
 def pending(samples: DataFrame, done: DataFrame, key: str) -> DataFrame:

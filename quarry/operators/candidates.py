@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.arrays import cosine
 from quarry.functions.text import set_jaccard, tokens
+from quarry.plans.durable import sized
 
 
 def united(df: DataFrame, key: str, k: str, text: str) -> DataFrame:
@@ -18,8 +19,8 @@ def united(df: DataFrame, key: str, k: str, text: str) -> DataFrame:
 def self_consistent(df: DataFrame, key: str, k: str, text: str, n: int = 1) -> DataFrame:
     """``key, text``: the ``n`` candidates most like the others, in that order (ties: lower ``k``).
 
-    A sample has at most a few dozen candidates (the number drawn by the generator), so each is
-    compared with the others inside one array. With ``n`` or fewer candidates all are joined in
+    The mean similarity to all others is quadratic in the candidates of a sample by its definition;
+    a generator draws a few dozen, so each is compared with the others inside one array. With ``n`` or fewer candidates all are joined in
     ``k`` order; no candidate gives an empty text."""
     got = F.sort_array(F.collect_list(F.struct(k, F.coalesce(text, F.lit("")).alias("t"), tokens(F.col(text)).alias("w"))))
     sample = df.groupBy(key).agg(got.alias("c"))
@@ -35,8 +36,9 @@ def self_consistent(df: DataFrame, key: str, k: str, text: str, n: int = 1) -> D
 
 def best_scored(df: DataFrame, key: str, k: str, score: str, text: str) -> DataFrame:
     """``key, text``: the candidate of the highest score, the first of equals; null scores lose."""
-    w = Window.partitionBy(key).orderBy(F.desc_nulls_last(score), k)
-    return df.withColumn("__r", F.row_number().over(w)).filter("__r = 1").select(key, text)
+    order = F.struct(F.col(score).isNotNull().alias("has"), F.col(score).alias("s"), (-F.col(k)).alias("k"))
+    best = df.groupBy(key).agg(F.max_by(F.struct(F.col(text).alias("__t")), order).alias("b"))
+    return best.select(key, F.col("b.__t").alias(text))
 
 
 def aggregate(df: DataFrame, key: str, k: str, text: str, score: str | None = None, self_consistent_n: int = 0, union: bool = False) -> DataFrame:
@@ -52,7 +54,7 @@ def aggregate(df: DataFrame, key: str, k: str, text: str, score: str | None = No
 
 def alignment_scores(vectors: DataFrame, queries: DataFrame, group: str, vector: str, temperature: float = 1.0) -> DataFrame:
     """Cosine of each vector with the query of its group, over the temperature."""
-    q = queries.select(group, F.col(vector).alias("__q"))
+    q = sized(queries.select(group, F.col(vector).alias("__q")), "queries")
     return vectors.join(q, group).withColumn("score", cosine(F.col(vector), F.col("__q")) / temperature).drop("__q")
 
 

@@ -9,15 +9,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.plans.number import numbered
+
 
 def assigned(df: DataFrame, order: str, workers: int) -> DataFrame:
     """Adds ``worker``: disjoint round-robin assignment in the order of a column."""
-    return df.withColumn("worker", (F.row_number().over(Window.orderBy(order)) - 1) % workers)
+    return numbered(df, order).withColumn("worker", F.col("row") % workers).drop("row")
 
 
 def epoch_order(df: DataFrame, key: str, seed: int, epoch: int) -> DataFrame:
     """Adds ``place``: a permutation that changes with the epoch and not with the partitioning."""
-    return df.withColumn("place", F.row_number().over(Window.orderBy(F.md5(F.concat_ws("-", F.lit(str(seed + epoch)), F.col(key).cast("string")).cast("binary")), key)) - 1)
+    h = F.md5(F.concat_ws("-", F.lit(str(seed + epoch)), F.col(key).cast("string")).cast("binary"))
+    return numbered(df.withColumn("__h", h), "__h", key, name="place").drop("__h")
 
 
 def buffered_shuffle(df: DataFrame, size: int = 100, seed: int = 0) -> DataFrame:
@@ -43,6 +46,10 @@ def buffered_shuffle(df: DataFrame, size: int = 100, seed: int = 0) -> DataFrame
 
 
 def top_random(df: DataFrame, group: str, keep: int, seed: int, order: str) -> DataFrame:
-    """``keep`` random rows of each group, the same for the same seed."""
+    """``keep`` random rows of each group, the same for the same seed. Each of 64 parts of a group is
+    cut to ``keep`` rows before the parts meet, so no task sorts a whole group."""
     h = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(order).cast("string")).cast("binary"))
-    return df.withColumn("__r", F.row_number().over(Window.partitionBy(group).orderBy(h, order))).filter(F.col("__r") <= keep).drop("__r")
+    df = df.withColumn("__h", h).withColumn("__p", F.pmod(F.xxhash64(order), F.lit(64)))
+    for by in ([group, "__p"], [group]):
+        df = df.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy("__h", order))).filter(F.col("__r") <= keep)
+    return df.drop("__r", "__h", "__p")

@@ -40,3 +40,16 @@ def cut(df: DataFrame, name: str = "stage") -> DataFrame:
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: most rows that are sent to all executors
+SENT = 100_000
+
+
+def sized(df: DataFrame, name: str = "side", limit: int = SENT) -> DataFrame:
+    """``df`` as a table, marked for broadcast if it has at most ``limit`` rows; a larger one is left
+    to a shuffle join."""
+    from pyspark.sql import functions as F
+
+    table = cut(df, name)
+    return F.broadcast(table) if table.count() <= limit else table

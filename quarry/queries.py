@@ -13,6 +13,7 @@ from quarry.config import DEFAULT
 from quarry.functions import arrays, text
 from quarry.operators import align, audit, bootstrap, candidates, classification, diff, fusion, nlg, regions, sampling, tables, texthead
 from quarry.plans.durable import cut, shared_dir
+from quarry.plans.number import numbered
 from quarry.plans.workers import importable
 from quarry.sources import labels, sinks
 from quarry.sources import predictions as src
@@ -505,8 +506,9 @@ def contrastive_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("d", "x"))
     mean = flat.groupBy("label", "d").agg(F.avg(F.col("x").cast("double")).alias("x"))
     q = mean.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda v: v["x"]).alias("v"))
-    # one row for each label on either side, a handful in all
-    sims = q.select(F.col("label").alias("i"), F.col("v").alias("a"), F.lit(1).alias("one")).join(q.select(F.col("label").alias("j"), F.col("v").alias("b"), F.lit(1).alias("one")), "one")
+    # the loss compares all rows of a batch, here a batch of up to 32 labels
+    batch = F.floor(F.col("label") / 32).alias("batch")
+    sims = q.select(batch, F.col("label").alias("i"), F.col("v").alias("a")).join(q.select(batch, F.col("label").alias("j"), F.col("v").alias("b")), "batch")
     sims = sims.withColumn("sim", arrays.cosine(F.col("a"), F.col("b")) / 0.07)
     return candidates.contrastive_loss(sims, "i", "j", "sim").select(F.round("loss", 6).alias("loss"))
 
@@ -603,12 +605,14 @@ def padded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("m", longest).select("sample_id", arrays.padded(F.col("w"), F.col("m")).alias("ids"))
 
 
-@query("mean_pooled", """WITH e AS (SELECT label, vec_id, unnest(range(0, len(embedding))) AS d, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE vec_id % 2 = 0)
-SELECT label, d, round(avg(x), 6) AS x FROM e GROUP BY label, d""")
+@query("mean_pooled", """WITH e AS (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)
+SELECT vec_id, (i % 8)::INT AS d, round(avg(x), 6) AS x FROM e WHERE i // 8 < 1 + vec_id % 8 GROUP BY vec_id, i % 8""")
 def mean_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean of the unmasked vectors of each label (even ids carry the mask)."""
-    e = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.collect_list("embedding").alias("v"), F.collect_list((F.col("vec_id") % 2 == 0).cast("int")).alias("m"))
-    return e.select("label", F.posexplode(arrays.mean_pool(F.col("v"), F.col("m"))).alias("d", "x")).select("label", "d", F.round("x", 6).alias("x"))
+    """Mean of the unmasked tokens of each sample: eight tokens of eight numbers, the last ones padded."""
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda t: F.slice("embedding", t * 8 + 1, 8))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda t: (t <= F.col("vec_id") % 8).cast("int"))
+    pooled = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(arrays.mean_pool(tokens, mask)).alias("d", "x"))
+    return pooled.select("vec_id", "d", F.round("x", 6).alias("x"))
 
 
 @query("thresholded", "SELECT vec_id, list_transform(embedding, lambda x: (1 / (1 + exp(-(x::DOUBLE))) > 0.5)::INT) AS y FROM embeddings")
@@ -791,7 +795,7 @@ def bootstrap_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = align.keep_first(s, ["source", "id"], "sample_id")
     by = lambda name, p: first.filter(F.col("source") == name).select("id", "sample_id", *(F.col(c).alias(p + c) for c in nlg.STATS))
     j = by("gen_birch", "base_").join(by("gen_alder", "ours_").drop("sample_id"), "id")
-    rows = cut(j.withColumn("row", F.row_number().over(Window.orderBy("sample_id")) - 1), "stats")
+    rows = cut(numbered(j, "sample_id"), "stats")
     w = bootstrap.weights(spark, RESAMPLES, rows.count())
     return bootstrap.interval(bootstrap.bleu_deltas(rows, w))
 
