@@ -126,13 +126,18 @@ def passages(docs: DataFrame, items: DataFrame, index: Index | None = None) -> D
     )
 
 
-def proximity(docs: DataFrame, items: DataFrame, index: Index | None = None, slack: int = 3) -> DataFrame:
-    """``doc_id, item_id``: the rarest terms of a window stand in the document with shifts that
-    differ by less than ``slack`` words, so that inserted or lost words do not hide a passage."""
-    _, _, windows, hits = _parts(docs, items, index)
+def proximity(docs: DataFrame, items: DataFrame, index: Index | None = None, slack: int = 3, near: int = 10) -> DataFrame:
+    """``doc_id, item_id``: of some window of ``RUN`` words at least ``near`` stand in the document at
+    shifts that differ by less than ``2 * slack``, so that a few changed, inserted or lost words do
+    not hide a passage. The rarest terms of the window must be among them."""
+    index, words, windows, hits = _parts(docs, items, index)
     b = F.floor(F.col("off") / slack)
     wide = hits.select("doc_id", "item_id", "ipos", F.explode(F.array(b, b + 1)).alias("place"))
-    return _intersect(wide, windows, "place").select("doc_id", "item_id").distinct()
+    # place p covers the shifts from (p - 1) * slack on
+    found = _intersect(wide, windows, "place").withColumn("low", (F.col("place") - 1) * slack)
+    both = found.join(words.withColumnRenamed("words", "item_words"), "item_id").join(index.docs, "doc_id")
+    same = f"exists(sequence(0, {2 * slack - 1}), d -> get(words, cast(low + s + i + d as int)) = item_words[s + i])"
+    return both.filter(F.expr(f"exists(starts, s -> size(filter(sequence(0, {RUN - 1}), i -> {same})) >= {near})")).select("doc_id", "item_id").distinct()
 
 
 def leaked_items(found: DataFrame, items: DataFrame) -> DataFrame:

@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.plans.durable import cut
+
 #: words rarer than this share of all words get no verdict from the corpus
 FLOOR = 1e-5
 #: least number of uses before a period for a verdict
@@ -136,16 +138,10 @@ class Verdicts:
 
 
 def verdicts(texts: DataFrame) -> Verdicts:
-    counts = corpus_counts(texts)
-    counts = counts.withColumn("total", F.sum("uses").over(_everything()))
-    kept = counts.filter((F.greatest("uses", "dots") >= F.greatest(F.lit(3), F.col("total") * FLOOR)))
-    return Verdicts([tuple(r)[:6] for r in kept.select("word", "dots", "goes_on", "at_end", "uses", "opens").collect()])
-
-
-def _everything():
-    from pyspark.sql import Window
-
-    return Window.partitionBy()
+    counts = cut(corpus_counts(texts), "words")
+    total = counts.agg(F.sum("uses")).first()[0] or 0
+    kept = counts.filter(F.greatest("uses", "dots") >= max(3, total * FLOOR))
+    return Verdicts([tuple(r) for r in kept.select("word", "dots", "goes_on", "at_end", "uses", "opens").collect()])
 
 
 class Splitter:
