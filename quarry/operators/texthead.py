@@ -82,12 +82,16 @@ def report(cands: DataFrame, fused: DataFrame, names: Sequence[str] = lexicon.LA
     picks = ordered.select("volume", F.aggregate("items", start, step, lambda a: a["picks"]).alias("picks"))
     j = fused.select("volume", "labels").join(picks, "volume", "left")
     j = j.withColumn("picks", F.coalesce("picks", F.expr("cast(array() as array<struct<c:int,line:string>>)")))
+
+    def picked(i: int):  # a lambda with a second parameter would be given the position of the element
+        return F.transform(F.filter("picks", lambda p: p["c"] == i), lambda p: p["line"])
+
     parts = []
     for r in regions:
         lines = []
         for i, n in enumerate(names):
             if region[n] == r:
-                got = F.transform(F.filter("picks", lambda p, i=i: p["c"] == i), lambda p: p["line"])
+                got = picked(i)
                 none = F.when(F.element_at("labels", i + 1) == 1, F.lit(f"{n} was detected.")).otherwise(F.lit(f"{n} was not detected."))
                 lines.append(F.when(F.size(got) > 0, got).otherwise(F.array(none)))
         lines += [F.array(F.lit(s)) for s in stock.get(r, ())]
