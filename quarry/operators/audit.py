@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import plain_sentences, set_jaccard, tokens
+from quarry.functions.text import plain_sentences, tokens
 
 
 def sentence_counts(texts: DataFrame, text: str, order: str) -> DataFrame:
@@ -31,7 +31,8 @@ def phrase_audit(counts: DataFrame, phrases: Mapping[str, str], similar: float =
     each = []
     for region, phrase in phrases.items():
         p = F.array_distinct(tokens(F.lit(phrase)))
-        near = F.when((F.size("w") > 0) & (set_jaccard(p, F.col("w")) >= similar), F.col("n")).otherwise(0)
+        common = F.size(F.array_intersect(p, F.col("w")))
+        near = F.when((F.size("w") > 0) & (common / (F.size(p) + F.size("w") - common) >= similar), F.col("n")).otherwise(0)
         exact = F.when(F.col("sentence") == phrase.lower(), F.col("n")).otherwise(0)
         each.append(F.struct(F.lit(region).alias("region"), F.lit(phrase).alias("phrase"), exact.alias("exact"), near.alias("fuzzy")))
     flat = counts.select("sentence", "n", words.alias("w")).select(F.explode(F.array(*each)).alias("x")).select("x.*")

@@ -17,6 +17,7 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from quarry.functions.stem import stem
 from quarry.functions.text import squeeze
+from quarry.plans.spread import spread
 
 STATS = ["clip1", "clip2", "clip3", "clip4", "tot1", "tot2", "tot3", "tot4", "hyp_len", "ref_len"]
 _TYPE = StructType([StructField(c, LongType()) for c in STATS] + [StructField("rouge_l", DoubleType()), StructField("meteor", DoubleType())])
@@ -99,7 +100,7 @@ def _stats(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
 def row_stats(df: DataFrame, ref: str, hyp: str) -> DataFrame:
     """The rows whose two texts are not blank, with their statistics."""
     full = df.filter((squeeze(F.col(ref)) != "") & (squeeze(F.col(hyp)) != ""))
-    return full.withColumn("__s", _stats(ref, hyp)).select(*df.columns, "__s.*")
+    return spread(full).withColumn("__s", _stats(ref, hyp)).select(*df.columns, "__s.*")
 
 
 def bleu(n: int, prefix: str = "") -> Column:
