@@ -25,6 +25,8 @@ from itertools import accumulate
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from quarry.plans.spread import spread
+
 #: the public pre-tokenization pattern of byte-level BPE (fixed value)
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -186,7 +188,7 @@ def encode(df: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULA
             yield pd.DataFrame({id_col: b.iloc[:, 0], "ids": [encoder.encode(t) if t else [] for t in b.iloc[:, 1]]})
 
     cols = df.select(df[id_col].cast("long").alias(id_col), df[text_col].cast("string").alias("text"))
-    return cols.mapInPandas(each, f"`{id_col}` long, ids array<int>")
+    return spread(cols).mapInPandas(each, f"`{id_col}` long, ids array<int>")
 
 
 def decode(df: DataFrame, id_col: str, vocabulary: str = VOCABULARY, ids_col: str = "ids") -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.plans.durable import cut
+from quarry.plans.spread import spread
 
 #: consecutive words that make a leak
 RUN = 12
@@ -52,7 +53,7 @@ def words_table(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFra
             yield pd.DataFrame({name: b.iloc[:, 0], "words": words})[[bool(w) for w in words]]
 
     cols = df.select(df[id_col].cast("long").alias(name), df[text_col].cast("string").alias("text")).filter("text is not null")
-    return cols.mapInPandas(each, f"{name} long, words array<string>")
+    return spread(cols).mapInPandas(each, f"{name} long, words array<string>")
 
 
 def _small(df: DataFrame, size: int) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql.types import BooleanType
 
 from quarry.llm import nearcopies as nc
 from quarry.plans.durable import cut
+from quarry.plans.spread import spread
 
 LEAST = 32
 SHARE = 0.08
@@ -56,7 +57,7 @@ def _sketched(df: DataFrame, train: str, held: tuple[str, ...]) -> DataFrame:
 
     side = F.when(F.col("split") == train, "t").when(F.col("split").isin(*held), "e")
     texts = df.select("tbl", "id", side.alias("side"), "text").filter(f"side is not null and length(text) >= {2 * LEAST - 1}")
-    return texts.mapInPandas(each, "tbl string, id long, side string, cls long, n int, bands array<long>")
+    return spread(texts).mapInPandas(each, "tbl string, id long, side string, cls long, n int, bands array<long>")
 
 
 @F.pandas_udf(BooleanType())

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.plans.durable import cut
+from quarry.plans.spread import spread
 
 #: words rarer than this share of all words get no verdict from the corpus
 FLOOR = 1e-5
@@ -118,7 +119,7 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
                 dots, words = {}, Counter()
         yield rows()
 
-    got = texts.mapInPandas(each, "word string, dots long, goes_on long, at_end long, uses long, opens long")
+    got = spread(texts).mapInPandas(each, "word string, dots long, goes_on long, at_end long, uses long, opens long")
     return got.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("dots", "goes_on", "at_end", "uses", "opens")))
 
 
@@ -327,7 +328,7 @@ def sentence_spans(df: DataFrame, id_col: str, text_col: str, v: Verdicts) -> Da
             yield pd.DataFrame({"rec_id": pd.Series(ids, dtype="int64"), "start_pos": pd.Series(starts, dtype="int64"), "end_pos": pd.Series(ends, dtype="int64")})
 
     cols = df.select(df[id_col].cast("long").alias("rec_id"), df[text_col].cast("string").alias("text")).filter("text is not null")
-    return cols.mapInPandas(each, "rec_id long, start_pos long, end_pos long")
+    return spread(cols).mapInPandas(each, "rec_id long, start_pos long, end_pos long")
 
 
 def found(spark_tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:

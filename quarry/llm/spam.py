@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.plans.durable import cut
+from quarry.plans.spread import spread
 
 #: most labelled pages that the trees are fitted to
 SAMPLE = 20_000
@@ -180,7 +181,7 @@ def features(pages: DataFrame, id_col: str, text_col: str, host_col: str) -> Dat
             yield pd.DataFrame({"page": b["page"], "host": b["host"], "f": fs, "weak": pd.Series([weak_label(f) for f in fs], dtype="float64")})
 
     cols = pages.select(pages[id_col].cast("long").alias("page"), pages[host_col].cast("string").alias("host"), pages[text_col].cast("string").alias("text"))
-    return cols.filter(r"text rlike '\\S'").mapInPandas(each, "page long, host string, f array<double>, weak double")
+    return spread(cols.filter(r"text rlike '\\S'")).mapInPandas(each, "page long, host string, f array<double>, weak double")
 
 
 def scores(pages: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
