@@ -34,3 +34,19 @@ class Config:
 
 
 DEFAULT = Config()
+
+
+def flat_values(text: str) -> dict[str, str]:
+    """The ``key: value`` lines of a YAML text, at any depth; comments and quotes are dropped."""
+    out = {}
+    for line in text.splitlines():
+        body = line.split("#", 1)[0].strip()
+        key, colon, value = body.partition(":")
+        if colon and value.strip():
+            out[key.strip("- ")] = value.strip().strip("\"'")
+    return out
+
+
+def known(names: list[str], catalogue: dict) -> list[str]:
+    """The asked names that the catalogue has, all of it if none is asked."""
+    return [n for n in names if n in catalogue] if names else list(catalogue)

@@ -100,6 +100,11 @@ def stem_of(path: Column) -> Column:
     return F.substring_index(F.element_at(F.split(path, "/"), -1), ".", 1)
 
 
+def folder_key(path: Column) -> Column:
+    """Short key of a folder's cached listing."""
+    return F.left(F.md5(path.cast("binary")), F.lit(8))
+
+
 def cache_key(path: Column) -> Column:
     return F.replace(path, F.lit("/"), F.lit("__"))
 

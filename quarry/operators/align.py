@@ -48,6 +48,11 @@ def paired(base: DataFrame, ours: DataFrame, key: str, order: str) -> DataFrame:
     return numbered(b.join(o, key), f"{order}_base")
 
 
+def proposer(labels: DataFrame, texts: DataFrame, key: str, order: str) -> DataFrame:
+    """Labels with the first text of each key, in label order; keys without a text keep null."""
+    return gather(labels, keep_first(texts, [key], order).drop(order), key)
+
+
 def pending(samples: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Samples not processed yet."""
     return samples.join(done.select(key).distinct(), key, "left_anti")

@@ -24,6 +24,17 @@ def draws(spark, resamples: int, n: int, seed: int = 0) -> DataFrame:
     return at.select("b", draw(seed, F.col("b"), F.col("slot"), F.lit(n)).alias("row"))
 
 
+def numpy_draws(spark, resamples: int, n: int, seed: int = 0) -> DataFrame:
+    """``b, row`` as numpy's default generator draws them, for comparisons with older results. The
+    generator is sequential, so the draws are made on the driver: use it for small ``resamples * n``."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(seed)
+    each = [pd.DataFrame({"b": b, "row": rng.integers(0, n, size=n)}) for b in range(resamples)]
+    return spark.createDataFrame(pd.concat(each, ignore_index=True) if each else pd.DataFrame({"b": [], "row": []}), "b long, row long")
+
+
 def weights(spark, resamples: int, n: int, seed: int = 0) -> DataFrame:
     """``b, row, w``: how often each row is drawn, which is all that sums and means need."""
     return draws(spark, resamples, n, seed).groupBy("b", "row").agg(F.count(F.lit(1)).alias("w"))

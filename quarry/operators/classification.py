@@ -73,6 +73,11 @@ def consistency(pairs: DataFrame) -> DataFrame:
     return c.select("n", "tp", "fp", "fn", F.bround(p, 4).alias("precision"), F.bround(r, 4).alias("recall"), F.bround(f, 4).alias("f1"))
 
 
+def text_report(scores: DataFrame, name: str) -> DataFrame:
+    """``line``: a fixed-width text line of each row's scores."""
+    return scores.select(F.format_string("%-34s %9.2f %9.2f %9.2f %9d", name, "precision", "recall", "f1", "support").alias("line"))
+
+
 def wide_labels(df: DataFrame, names: Sequence[str], columns: dict[str, str]) -> DataFrame:
     """Label vectors as columns: ``columns`` maps a prefix to the vector column."""
     keep = [c for c in df.columns if c not in columns.values()]

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from quarry import lexicon, schemas
 from quarry.config import DEFAULT
 from quarry.functions import arrays, text
-from quarry.operators import align, audit, bootstrap, candidates, classification, diff, fusion, nlg, regions, sampling, tables, texthead
+from quarry.operators import align, audit, bootstrap, candidates, classification, diff, fusion, nlg, regions, sampling, tables, tensors, texthead
 from quarry.plans.durable import cut, shared_dir
 from quarry.plans.number import numbered
 from quarry.plans.workers import importable
-from quarry.sources import labels, sinks
+from quarry.sources import labels, shards, sinks
 from quarry.sources import predictions as src
 from quarry.streaming import resume
 
@@ -830,3 +830,120 @@ def buffered_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def random_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty random samples of each shard."""
     return sampling.top_random(table(spark, sf_dir, "shard_index"), "shard", 20, 5, "sample_idx").select("shard", "sample_idx")
+
+
+# ---------------------------------------------------------------- batches and seams
+
+
+def region_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``batch, volume, t``: word and character counts of the regions of each volume, in batches by shard member."""
+    m = regions.maps(region_rows(spark, sf_dir).filter("region <> 'whole' and text is not null"))
+    t = F.transform_values("regions", lambda k, v: F.array(F.size(text.tokens(v)).cast("double"), F.length(v).cast("double")))
+    batch = F.floor(F.regexp_extract("volume", "_([0-9]+)", 1).cast("long") / 16)
+    return m.select(batch.alias("batch"), "volume", t.alias("t"))
+
+
+@query("collated_batches", f"""WITH {_LATEST}, {_REGION_DIM},
+x AS (SELECT regexp_extract(volume, '_([0-9]+)', 1)::BIGINT // 16 AS batch, volume, region, [len({_tokens('text')})::DOUBLE, length(text)::DOUBLE] AS v FROM latest WHERE region <> 'whole' AND text IS NOT NULL),
+p AS (SELECT DISTINCT batch, region FROM x JOIN rd USING (region)), v AS (SELECT DISTINCT batch, volume FROM x)
+SELECT v.batch, v.volume, p.region, coalesce(x.v, [0.0, 0.0]::DOUBLE[]) AS "values" FROM v JOIN p USING (batch) LEFT JOIN x ON x.volume = v.volume AND x.region = p.region""")
+def collated_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of region tensors with zeros for absent regions; regions that a batch lacks are dropped."""
+    return tensors.collated(region_tensors(spark, sf_dir), "batch", "volume", "t", 2)
+
+
+@query("present_regions", f"""WITH {_LATEST}, m AS (SELECT volume, list(region ORDER BY region) AS names FROM latest WHERE region IN ('heart', 'lung', 'pleura') GROUP BY volume)
+SELECT volume, list_transform(range(1, len(names) + 1), lambda i: (i - 1) || ':' || names[i]) AS area FROM m""")
+def present_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions that have a mask, numbered in order."""
+    mask = F.create_map(*(x for r in ("heart", "lung", "pleura") for x in (F.lit(r), F.lit(1))))
+    m = regions.maps(region_rows(spark, sf_dir)).select("volume", regions.present_only(F.col("regions"), mask).alias("r"))
+    area = regions.numbered(F.sort_array(F.map_keys("r")))
+    named = F.transform(F.map_entries(area), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"]))
+    return m.filter(F.size("r") > 0).select("volume", named.alias("area"))
+
+
+@query("running_labels", "SELECT source, side, volumes, list_transform(range(1, len(labels) + 1), lambda i: list_sum(labels[1:i])::INT) AS seen FROM label_cache")
+def running_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running sums of the label vectors."""
+    return table(spark, sf_dir, "label_cache").select("source", "side", "volumes", tensors.running_counts(F.col("labels")).alias("seen"))
+
+
+@query("running_events", "SELECT event_id, sum((event_type = 'click')::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS seen FROM events")
+def running_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks of each user up to each event."""
+    e = table(spark, sf_dir, "events").withColumn("click", F.col("event_type") == "click")
+    return tensors.running_count(e, "user_id", "event_id", "click").select("event_id", "seen")
+
+
+@query("test_time_passes", "SELECT vec_id, i, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * (0.9 + 0.05 * i) + (-0.05 + 0.025 * i))), 5) AS s FROM embeddings, (SELECT unnest(range(0, 3)) AS i)")
+def test_time_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of the arrays under the scales and shifts of three test-time passes."""
+    e = table(spark, sf_dir, "embeddings")
+    each = [F.struct(F.lit(i).alias("i"), _scaled_sum(scale, shift).alias("s")) for i, (scale, shift) in enumerate(arrays.intensity_passes(3))]
+    return e.select("vec_id", F.explode(F.array(*each)).alias("x")).select("vec_id", "x.i", F.round("x.s", 5).alias("s"))
+
+
+def _scaled_sum(scale: float, shift: float):
+    return F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * scale + shift)
+
+
+@query("foreground_places", "SELECT source, side, volumes, list_position(labels, 1) - 1 AS first, len(labels) - list_position(list_reverse(labels), 1) AS last FROM label_cache WHERE list_contains(labels, 1)")
+def foreground_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and last place of each vector that is set."""
+    f = table(spark, sf_dir, "label_cache").withColumn("f", tensors.foreground(F.col("labels"))).filter("f is not null")
+    return f.select("source", "side", "volumes", "f.first", "f.last")
+
+
+@query("resized_arrays", "SELECT vec_id, round(list_sum(list_transform(range(0, 16), lambda i: embedding[floor((i + 0.5) * len(embedding) / 16)::INT + 1]::DOUBLE)), 5) AS s FROM embeddings")
+def resized_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays resampled to sixteen numbers, summed."""
+    r = F.aggregate(tensors.resized(F.col("embedding"), 16), F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(r, 5).alias("s"))
+
+
+@query("proposer_table", f"""WITH f AS (SELECT * FROM (SELECT volume_name AS key, Pred_combined_report AS pred, row_number() OVER (PARTITION BY volume_name ORDER BY sample_id) AS r FROM predictions WHERE source = 'gen_alder') WHERE r = 1)
+SELECT l.volumes AS key, l.labels, f.pred FROM label_cache l LEFT JOIN f ON f.key = l.volumes WHERE l.source = 'gen_alder' AND l.side = 'Pred'""")
+def proposer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cached labels of a source with its first text for each volume, null where it has none."""
+    lab = label_vectors(spark, sf_dir, "Pred").filter("source = 'gen_alder'").select("key", "labels")
+    texts = predictions(spark, sf_dir).filter("source = 'gen_alder'").select(F.col("volume_name").alias("key"), F.col("Pred_combined_report").alias("pred"), "sample_id")
+    return align.proposer(lab, texts, "key", "sample_id")
+
+
+_NAMES = "nm(idx, name) AS (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(lexicon.LABELS)) + ")"
+
+
+@query("score_lines", f"""WITH {_SINGLE}, {_NAMES}, l AS (SELECT *, {_F1} AS f1 FROM (SELECT *, {_PRF} FROM (SELECT idx, {_COUNTS} FROM pairs GROUP BY idx)))
+SELECT printf('%-34s %9d', name, tp + fn) AS line FROM l JOIN nm USING (idx)""")
+def score_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Support of each condition as lines of a text report."""
+    names = F.array(*(F.lit(n) for n in lexicon.LABELS))
+    s = classification.scored(classification.confusion(source_pairs(spark, sf_dir), ["idx"]))
+    return s.select(F.format_string("%-34s %9d", F.element_at(names, (F.col("idx") + 1).cast("int")), "support").alias("line"))
+
+
+@query("folder_keys", "SELECT DISTINCT split_part(image_path, '/', 2) AS split, left(md5('ct/' || split_part(image_path, '/', 2)), 8) AS folder_key FROM shard_index")
+def folder_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of the cached listings of folders."""
+    split = F.element_at(F.split("image_path", "/"), 2)
+    return table(spark, sf_dir, "shard_index").select(split.alias("split")).distinct().withColumn("folder_key", text.folder_key(F.concat(F.lit("ct/"), "split")))
+
+
+@query("augmented_arrays")
+def augmented_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays with seeded changes of scale, shift, noise and direction."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", tensors.augmented(F.transform("embedding", lambda x: x.cast("double")), F.col("vec_id"), 7).alias("v"))
+
+
+@query("shard_members", "SELECT shard, sample_idx AS idx, image_path FROM shard_index")
+def shard_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Region maps written as tar shards and read back through the data source."""
+    at = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    folder = at.removeprefix("file://")
+    index = table(spark, sf_dir, "shard_index").select("sample_idx", "shard", "image_path")
+    write = shards.write_shards(index, folder, "sample_idx", "shard")
+    written = cut(write, "written")
+    back = shards.read_shards(spark, folder)
+    path = F.get_json_object(F.col("content").cast("string"), "$.image_path")
+    return back.join(written.select("shard"), "shard").select("shard", "idx", path.alias("image_path"))
