@@ -81,7 +81,7 @@ def dedup_prefix(c: Column, n: int = 40) -> Column:
 
 def finished(c: Column) -> Column:
     """One full stop at the end, whatever dots and blanks stood there."""
-    return F.concat(F.regexp_replace(c, r"[. ]+$", ""), F.lit("."))
+    return F.concat(F.regexp_replace(c, r"(?<![. ])[. ]++$", ""), F.lit("."))
 
 
 def shortened(c: Column, words: int = 80) -> Column:
