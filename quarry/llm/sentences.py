@@ -148,6 +148,9 @@ def verdicts(texts: DataFrame) -> Verdicts:
 class Splitter:
     def __init__(self, v: Verdicts):
         self.abbreviation, self.opens = v.abbreviation, v.opens
+        self._text: str | None = None
+        self._dots: dict[str, tuple[int, int]] = {}
+        self._bare: set[str] = set()
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         out: list[tuple[int, int]] = []
@@ -260,12 +263,30 @@ class Splitter:
         if "." in low or len(low) == 1:
             return True
         # unambiguous uses in this text
-        uses = [m.end() for m in re.finditer(r"(?<!\w)" + re.escape(t) + r"\.\s+(?=\S)", text)]
-        on = sum(text[k].islower() or text[k].isdigit() for k in uses)
-        if on > 1 and on == len(uses) and re.search(r"(?<!\w)" + re.escape(t) + r"(?![\w.])", text) is None:
+        uses, on = self._own_uses(text).get(t, (0, 0))
+        if on > 1 and on == uses and t not in self._bare:
             return True
         return None
 
+    def _own_uses(self, text: str) -> dict[str, tuple[int, int]]:
+        """Words of the text before a period: how often, and how often the text goes on in lower case
+        or with a digit. Gathered once for each text, and only if a word asks for it."""
+        if self._text is not text:
+            dots: dict[str, tuple[int, int]] = {}
+            self._bare = set()
+            ws = text.split()
+            for i, w in enumerate(ws):
+                if w[-1] == ".":
+                    if i + 1 < len(ws):
+                        t = w[:-1].lstrip("([\"“„«¿¡>")
+                        n = ws[i + 1][0]
+                        a, b = dots.get(t, (0, 0))
+                        dots[t] = a + 1, b + (n.islower() or n.isdigit())
+                else:
+                    self._bare.add(w.strip("([\"“„«¿¡>,;:!?)]”»"))
+            self._text, self._dots = text, dots
+        return self._dots
+
     def _period(self, text: str, s: int, at: int, i: int, end: int, e: int) -> bool:
         if i == s:
             return False

@@ -55,6 +55,17 @@ def test_defects(spark):
     assert set(got) <= lab
 
 
+def test_odd_long_texts():
+    from quarry.llm.sentences import Verdicts
+    from quarry.llm.truncation import Judge
+
+    judge, profile = Judge(Verdicts([])), pairs.Profile([])
+    for t in (" " * 200_000 + "x", "." * 200_000 + "x", "x." * 100_000, "<a " * 50_000, "[" * 50_000, "a-" * 100_000, "# " * 50_000, "a > " * 50_000, "the region 0 is " * 20_000):
+        assert len(spam.describe(t)) == len(spam.FEATURES)
+        judge.verdict(t, judge.split.spans(t))
+        pairs.static_votes(t, t, profile)
+
+
 def test_trees_on_held_out_rows():
     rng = np.random.default_rng(1)
     x = rng.random((3000, 6))

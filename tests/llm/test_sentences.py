@@ -59,6 +59,12 @@ def test_long_text_and_properties(split):
     assert len(got) == 20_000 and set(got) == {"The lung is clear."}
 
 
+@pytest.mark.parametrize("t", [" " * 200_000 + "x", "." * 200_000, "a. " * 100_000, "„x“ " * 50_000, "\n" * 200_000, "The region " * 50_000, "".join(f"w{i}. v " for i in range(50_000))])
+def test_odd_long_texts(split, t):
+    got = split(t)
+    assert all(u == u.strip() for u in got)
+
+
 def test_table(spark):
     df = spark.createDataFrame([(1, "No change. Stable.", 5), (2, None, 5), (3, "", 5), (1, "No change. Stable.", 5)], "id long, t string, text int")
     out = S.found({"x": (df, "id", "t")})
