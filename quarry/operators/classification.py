@@ -25,8 +25,8 @@ def scored(counts: DataFrame) -> DataFrame:
 
 
 def micro_macro(pairs: DataFrame, by: Sequence[str], label: str = "idx") -> DataFrame:
-    """``by, micro_precision, micro_recall, micro_f1, macro_f1`` from one aggregate: labels and their
-    grand total are grouping sets of the same counts."""
+    """``by, micro_precision, micro_recall, micro_f1, macro_f1``: the counts of each label are taken once
+    and added up for the micro scores, so the pairs are read and shuffled once."""
     counts = confusion(pairs, [*by, label])
     total = [F.sum(c).alias(c) for c in ("tp", "fp", "fn")]
     macro = F.avg("f1").alias("macro_f1")

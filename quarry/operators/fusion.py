@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry import lexicon
+
 MODES = ("or", "and", "majority")
 
 
@@ -26,25 +28,23 @@ def catalogue(spark, fusions: Mapping[str, Sequence[str]]) -> DataFrame:
     return spark.createDataFrame(rows, "fusion string, ordinal int, source string, members int")
 
 
-def fuse(vectors: DataFrame, cat: DataFrame) -> DataFrame:
+def fuse(vectors: DataFrame, cat: DataFrame, width: int = len(lexicon.LABELS)) -> DataFrame:
     """``fusion, mode, key, labels``: element-wise OR, AND and majority over the sources of a fusion,
     for keys that all of its sources have.
 
-    ``vectors``: ``source, key, labels``. Vectors are added element by element, so one row for each
-    fusion and key is shuffled after the partial aggregate, not one for each label. The catalogue is
-    code, a few dozen rows, and is broadcast."""
+    ``vectors``: ``source, key, labels`` with one row for each source and key and ``width`` labels of 0
+    or 1. Every element is a sum of its own in one aggregate, so the vectors are neither exploded nor
+    put together again, and one row for each fusion and key is shuffled. The catalogue is code, a few
+    dozen rows, and is broadcast."""
     joined = vectors.join(F.broadcast(cat), "source")
-    width = F.expr("size(labels)")
-    # a label is 0 or 1, so sums by position tell all three modes
-    flat = joined.select("fusion", "members", "key", "source", F.posexplode("labels").alias("idx", "label"), width.alias("width"))
-    sums = flat.groupBy("fusion", "members", "key", "idx").agg(F.sum("label").alias("n"), F.count(F.lit(1)).alias("have"))
-    sums = sums.filter(F.col("have") == F.col("members"))
-    wide = sums.groupBy("fusion", "members", "key").agg(F.sort_array(F.collect_list(F.struct("idx", "n"))).alias("s"))
+    sums = [F.sum(F.get("labels", F.lit(i))).alias(f"__{i}") for i in range(width)]
+    got = joined.groupBy("fusion", "members", "key").agg(F.count(F.lit(1)).alias("have"), *sums).filter("have = members")
+    wide = got.select("fusion", "members", "key", F.array(*(f"__{i}" for i in range(width))).alias("s"))
     m = F.col("members")
     by_mode = F.explode(F.array(
-        F.struct(F.lit("or").alias("mode"), F.expr("transform(s, x -> cast(x.n > 0 as int))").alias("labels"), F.lit(True).alias("on")),
-        F.struct(F.lit("and").alias("mode"), F.expr("transform(s, x -> cast(x.n = members as int))").alias("labels"), (m == 2).alias("on")),
-        F.struct(F.lit("majority").alias("mode"), F.expr("transform(s, x -> cast(x.n > members / 2.0 as int))").alias("labels"), (m >= 3).alias("on")),
+        F.struct(F.lit("or").alias("mode"), F.expr("transform(s, n -> cast(n > 0 as int))").alias("labels"), F.lit(True).alias("on")),
+        F.struct(F.lit("and").alias("mode"), F.expr("transform(s, n -> cast(n = members as int))").alias("labels"), (m == 2).alias("on")),
+        F.struct(F.lit("majority").alias("mode"), F.expr("transform(s, n -> cast(n > members / 2.0 as int))").alias("labels"), (m >= 3).alias("on")),
     ))
     return wide.select("fusion", "key", by_mode.alias("x")).filter("x.on").select("fusion", "x.mode", "key", "x.labels")
 

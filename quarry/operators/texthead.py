@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quarry import lexicon
 from quarry.config import DEFAULT, Config
 from quarry.functions import text as T
+from quarry.plans.durable import cut
 
 
 def candidates(df: DataFrame, synonyms: Mapping[str, Sequence[str]] = lexicon.SYNONYMS) -> DataFrame:
@@ -102,6 +103,7 @@ def report(cands: DataFrame, fused: DataFrame, names: Sequence[str] = lexicon.LA
 
 
 def build(texts: DataFrame, fused: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """``volume, report`` from ``volume, p_idx, text`` and ``volume, labels``."""
-    c = candidates(texts)
+    """``volume, report`` from ``volume, p_idx, text`` and ``volume, labels``. The sentences with their
+    matches are written once; both sides of the agreement join and the scores read them."""
+    c = cut(candidates(texts), "sentences")
     return report(scored(c, agreement(c, cfg.agree_ngram, cfg.agree_at), fused, cfg=cfg), fused, cfg=cfg)

@@ -53,7 +53,7 @@ def test_majority_threshold(spark, m, least):
     names = [f"s{i}" for i in range(m)]
     cat = fusion.catalogue(spark, {"f": names})
     v = [(s, "k", [int(i < n) for n in range(m + 1)]) for i, s in enumerate(names)]
-    got = {r.mode: r.labels for r in fusion.fuse(spark.createDataFrame(v, "source string, key string, labels array<int>"), cat).collect()}
+    got = {r.mode: r.labels for r in fusion.fuse(spark.createDataFrame(v, "source string, key string, labels array<int>"), cat, m + 1).collect()}
     assert got["or"] == [0] + [1] * m
     assert got["majority"] == [int(n >= least) for n in range(m + 1)]
     assert "and" not in got
@@ -68,7 +68,7 @@ def test_fusion_order_and_invariance(spark, labels, rnd):
 
     def fused(ls):
         v = spark.createDataFrame([(s, "k", x) for s, x in zip(names, ls)], "source string, key string, labels array<int>")
-        return {r.mode: r.labels for r in fusion.fuse(v, fusion.catalogue(spark, {"f": names})).collect()}
+        return {r.mode: r.labels for r in fusion.fuse(v, fusion.catalogue(spark, {"f": names}), 4).collect()}
 
     a = fused(labels)
     assert a == fused(shuffled)
@@ -79,7 +79,7 @@ def test_fusion_order_and_invariance(spark, labels, rnd):
 def test_fusion_drops_incomplete_keys(spark):
     v = spark.createDataFrame([("a", "k1", [1]), ("b", "k1", [0]), ("a", "k2", [1])], "source string, key string, labels array<int>")
     cat = fusion.catalogue(spark, {"p": ["a", "b"], "q": ["c", "d"]})
-    f = fusion.fuse(v, cat)
+    f = fusion.fuse(v, cat, 1)
     assert rows(f) == [("p", "and", "k1", [0]), ("p", "or", "k1", [1])]
     t = spark.createDataFrame([("gt", "k1", [1])], "source string, key string, labels array<int>")
     s = classification.micro_macro(fusion.pairs_with_truth(f, t), ["fusion", "mode"])
