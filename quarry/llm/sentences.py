@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -57,12 +57,12 @@ def segments(text: str) -> list[tuple[int, int, bool]]:
     return out
 
 
-def count_words(texts: Iterator[str]) -> tuple[dict[str, list[int]], Counter]:
+def count_words(texts: Iterable[tuple[str, int]]) -> tuple[dict[str, list[int]], Counter]:
     """Uses before a period by word: [all, goes on, at the end]; and uses of words, with openers
-    counted under a leading NUL."""
+    counted under a leading NUL. A text comes with the number of its copies."""
     dots: dict[str, list[int]] = {}
     words: Counter = Counter()
-    for text in texts:
+    for text, copies in texts:
         for s, e, header in segments(text):
             if header:
                 continue
@@ -70,14 +70,18 @@ def count_words(texts: Iterator[str]) -> tuple[dict[str, list[int]], Counter]:
             if not ws:
                 continue
             low = [w.lower() for w in ws]
-            words.update(low)
-            words["\0" + low[0]] += 1
+            if copies == 1:
+                words.update(low)
+            else:
+                for w in low:
+                    words[w] += copies
+            words["\0" + low[0]] += copies
             last = len(ws) - 1
             for i, w in enumerate(ws):
                 if w[-1] in ".?!":
                     if w[-1] != ".":
                         if i < last:
-                            words["\0" + low[i + 1]] += 1
+                            words["\0" + low[i + 1]] += copies
                         continue
                     t = low[i].rstrip(".").lstrip("([\"“«„¿")
                     if not t or not t[-1].isalpha() or len(t) > 20 or w.endswith(".."):
@@ -85,13 +89,13 @@ def count_words(texts: Iterator[str]) -> tuple[dict[str, list[int]], Counter]:
                     c = dots.get(t)
                     if c is None:
                         c = dots[t] = [0, 0, 0]
-                    c[0] += 1
+                    c[0] += copies
                     if i == last:
-                        c[2] += 1
+                        c[2] += copies
                     else:
                         n = ws[i + 1][0]
                         if n.islower() or n.isdigit() or n in ",;":
-                            c[1] += 1
+                            c[1] += copies
     return dots, words
 
 
@@ -108,7 +112,7 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
             return pd.DataFrame(got, columns=["word", "dots", "goes_on", "at_end", "uses", "opens"])
 
         for b in batches:
-            d, w = count_words(x for x in b.iloc[:, 0] if x)
+            d, w = count_words(Counter(x for x in b.iloc[:, 0] if x).items())
             for k, v in d.items():
                 c = dots.setdefault(k, [0, 0, 0])
                 for i in range(3):
