@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.plans.durable import cut
+from quarry.plans.durable import cut, sized
 from quarry.plans.spread import spread
 
 #: consecutive words that make a leak
@@ -113,14 +113,20 @@ def _parts(docs, items, index):
     return index, words, windows, hits
 
 
+def _texts(index: Index, near: DataFrame) -> DataFrame:
+    """The words of the documents in ``near``. Their ids go to the corpus where they are few (their
+    number is counted); the corpus is shuffled only if they are many."""
+    return index.docs.join(sized(near.select("doc_id").distinct(), "near", SENT), "doc_id", "left_semi")
+
+
 def passages(docs: DataFrame, items: DataFrame, index: Index | None = None) -> DataFrame:
     """``doc_id, item_id``: the document holds ``RUN`` consecutive words of the item."""
     index, words, windows, hits = _parts(docs, items, index)
-    near = _intersect(hits, windows, "off")
+    near = cut(_intersect(hits, windows, "off"), "hits")
     exact = F.expr(f"exists(starts, s -> off + s >= 0 and slice(words, greatest(off + s, 0) + 1, {RUN}) = slice(item_words, s + 1, {RUN}))")
     return (
         near.join(words.withColumnRenamed("words", "item_words"), "item_id")
-        .join(index.docs, "doc_id")
+        .join(_texts(index, near), "doc_id")
         .filter(exact)
         .select("doc_id", "item_id")
         .distinct()
@@ -135,8 +141,8 @@ def proximity(docs: DataFrame, items: DataFrame, index: Index | None = None, sla
     b = F.floor(F.col("off") / slack)
     wide = hits.select("doc_id", "item_id", "ipos", F.explode(F.array(b, b + 1)).alias("place"))
     # place p covers the shifts from (p - 1) * slack on
-    found = _intersect(wide, windows, "place").withColumn("low", (F.col("place") - 1) * slack)
-    both = found.join(words.withColumnRenamed("words", "item_words"), "item_id").join(index.docs, "doc_id")
+    found = cut(_intersect(wide, windows, "place").withColumn("low", (F.col("place") - 1) * slack), "hits")
+    both = found.join(words.withColumnRenamed("words", "item_words"), "item_id").join(_texts(index, found), "doc_id")
     same = f"exists(sequence(0, {2 * slack - 1}), d -> get(words, cast(low + s + i + d as int)) = item_words[s + i])"
     return both.filter(F.expr(f"exists(starts, s -> size(filter(sequence(0, {RUN - 1}), i -> {same})) >= {near})")).select("doc_id", "item_id").distinct()
 
