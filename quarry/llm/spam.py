@@ -42,6 +42,9 @@ LINK = re.compile(r"""<a\s[^>]{0,500}>|</?(?:a|li|ul|ol|nav)\b[^>]{0,500}>|\[[^\
 TAG = re.compile(r"(?<!\w)#[^\W\d_][\w-]*")
 NAV = re.compile(r"^(?:[^\n]{0,40}(?:\s[>»›]\s[^\n>»›]{1,40}){1,8}|(?:tags?|related|categor(?:y|ies)|topics?|labels?|keywords?|see also|more about|read more|next|previous|prev|home|sitemap|search|menu|login|back)\b(?:\s+page)?(?:[:\s][^\n]{0,160})?)$", re.I | re.M)
 OFFER = re.compile(r"\b(?:sku|item|art)\.?\s*(?:no\.?\s*)?[:#]?\s*\d{3,}|\bin stock\b|\bfree shipping\b|\bsale\s*-?\d+\s*%|\brefurbished\b|\badd to (?:cart|basket)\b|[$€£]\s?\d", re.I)
+#: one of these stands in every offer
+OFFERS = ("sku", "item", "in stock", "free shipping", "sale", "refurbished", "add to", "$", "€", "£")
+_ART = re.compile(r"\bart\b")
 WORD = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
 SPLIT = re.compile(r"[\n,;|/•»]+|(?<![.!?])[.!?]++\s+|(?<!\s)\s++[-–>]++\s+")
 #: words that seldom belong to a search phrase (fixed list)
@@ -80,18 +83,19 @@ def describe(text: str) -> list[float]:
     counts = Counter(w for w in words if w not in STOP and not w[0].isdigit())
     top = sum(c for _, c in counts.most_common(4))
     nav = sum(len(m.group()) for m in NAV.finditer(text))
+    low = text.lower()
+    near = [m.start() for m in OFFER.finditer(text)] if any(k in low for k in OFFERS) or _ART.search(low) else []
     offer = 0
     prose = short = 0
     for p in parts:
         w = WORD.findall(p)
-        if OFFER.search(p):
+        if near and OFFER.search(p):
             offer += len(p)
         if len(w) >= 6 and any(x.lower() in STOP for x in w):
             prose += len(p)
         if len(w) <= 4:
             short += len(p)
     digits = sum(map(str.isdigit, rest))
-    near = [m.start() for m in OFFER.finditer(text)]
     if len(near) >= 3:  # a list of offers: what lies between them belongs to it
         offer = max(offer, sum(b - a for a, b in zip(near, near[1:]) if b - a <= 90))
     return [
