@@ -1,7 +1,7 @@
 """Texts that lost their end.
 
 Near-copies are found by minwise bands over the opening words (a cut copy shares its opening with
-the whole text, not its length) and aligned word by word. Where one copy's alignment ends while the
+the whole text, not its length) and each is aligned word by word with all of them. Where one copy's alignment ends while the
 other goes on inside a word or a sentence, that copy is cut; where it ends at the end of a sentence,
 it is whole. Texts without such a copy are judged by how they close: an unclosed bracket, quotation
 or region header, a mark of omission, or closing words that end no finished sentence of the corpus.
@@ -244,15 +244,15 @@ def _aligner(v: Verdicts):
 
 
 def _pairs(table: DataFrame) -> DataFrame:
-    """Classes of one opening, the shorter unfinished one first: ``rep_s, field_s, rep_f, field_f``."""
+    """Each unfinished class with every class of its opening that is as long or longer: ``cls_s, rep_s, cls_f, rep_f``."""
     reps = table.filter("size(bands) > 0").groupBy("cls").agg(
         F.min(F.struct("id", "field")).alias("rep"), F.first("state").alias("state"), F.first("n").alias("n"), F.first("bands").alias("bands")
     )
     flat = reps.select("cls", "rep", "state", "n", F.explode("bands").alias("key"))
     short = flat.filter("state <> 'whole'").select("key", F.col("cls").alias("cls_s"), F.col("rep").alias("rep_s"), F.col("n").alias("n_s"))
-    # of all copies of one opening the longest goes furthest, so it alone can show a cut
-    full = flat.groupBy("key").agg(F.max(F.struct(F.col("n"), F.col("cls"), F.col("rep"))).alias("f"))
-    return short.join(full, "key").filter("f.n > n_s and f.cls <> cls_s").select("cls_s", "rep_s", F.col("f.cls").alias("cls_f"), F.col("f.rep").alias("rep_f")).distinct()
+    # texts of one opening may go on differently, so none of them stands for the others
+    full = flat.select("key", F.col("cls").alias("cls_f"), F.col("rep").alias("rep_f"), F.col("n").alias("n_f"))
+    return short.join(full, "key").filter("n_f >= n_s and cls_f <> cls_s").select("cls_s", "rep_s", "cls_f", "rep_f").distinct()
 
 
 def examined(df: DataFrame, key: str, fields: Sequence[str], v: Verdicts | None = None) -> tuple[DataFrame, DataFrame]:

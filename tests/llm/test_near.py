@@ -106,3 +106,17 @@ def test_truncated(spark):
     r = {x.source: (x.n, x.n_truncated) for x in tr.rates(df.drop("id"), "sample_id", ["t"], "source").collect()}
     assert r["s1"] == (200, 0) and r["s2"][1] == 4
     assert tr.truncated(df.drop("id").limit(0), "sample_id", ["t"]).count() == 0
+
+
+def test_every_text_of_an_opening_is_tried(spark):
+    """The longest text of an opening may be another report; a copy may go on by part of a word only."""
+    head = " ".join(f"word{i}" for i in range(30))
+    rows = [
+        (1, f"{head} with a small nodule in the left", "s"),
+        (2, f"{head} with a small nodule in the left lower lobe today.", "s"),
+        (3, f"{head}. Nothing else is found here. " + "Another report goes on for long. " * 9, "s"),
+        (4, f"{head} beside some calcified plaques of the aor", "s"),
+        (5, f"{head} beside some calcified plaques of the aorta.", "s"),
+    ] + [(10 + i, f"Seen in the left. Number {i} of the aor.", "s") for i in range(9)]
+    df = spark.createDataFrame(rows, "sample_id long, t string, source string")
+    assert sorted(r.sample_id for r in tr.truncated(df, "sample_id", ["t"]).collect()) == [1, 4]
