@@ -34,14 +34,19 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * _MIX2
 
 
-def shingles(ws: list[str], k: int) -> np.ndarray:
-    """Distinct hashes of the runs of ``k`` words (of all words, if there are fewer)."""
+def runs(ws: list[str], k: int) -> np.ndarray:
+    """Hashes of the runs of ``k`` words in their order (of all words, if there are fewer)."""
     h = np.fromiter(map(_word_hash, ws), np.uint64, len(ws))
     k = min(k, len(ws))
     out = np.zeros(len(ws) - k + 1, np.uint64)
     for i in range(k):
         out = _mixed(out + h[i : i + len(out)])
-    return np.unique(out)
+    return out
+
+
+def shingles(ws: list[str], k: int) -> np.ndarray:
+    """Distinct hashes of the runs of ``k`` words (of all words, if there are fewer)."""
+    return np.unique(runs(ws, k))
 
 
 class Sketch:
@@ -58,15 +63,33 @@ class Sketch:
 
     def keys(self, ws: list[str]) -> list[int]:
         """One signed 64-bit key for each band."""
-        x = shingles(ws, self.k)
-        low = np.full(self.bands * self.rows, np.iinfo(np.uint64).max, np.uint64)
+        return self._banded(self._least(shingles(ws, self.k)), 0).tolist()
+
+    def openings(self, ws: list[str], least: int) -> list[np.ndarray]:
+        """The keys of the first ``least``, ``2 * least``, ... words, as far as the text goes. Keys of
+        different lengths differ; every word is hashed once."""
+        x = runs(ws, self.k)
+        low, at, out, n = None, 0, [], least
+        while n <= len(ws):
+            to = max(1, n - self.k + 1)
+            low = self._least(x[at:to], low)
+            out.append(self._banded(low, n))
+            at, n = to, 2 * n
+        return out
+
+    def _least(self, x: np.ndarray, low: np.ndarray | None = None) -> np.ndarray:
+        if low is None:
+            low = np.full(self.bands * self.rows, np.iinfo(np.uint64).max, np.uint64)
         for i in range(0, len(x), self.CHUNK):
             # the high bits of a product depend on all bits of the factor
             low = np.minimum(low, (self.a * x[None, i : i + self.CHUNK] + self.b).min(axis=1))
-        key = self.number
+        return low
+
+    def _banded(self, low: np.ndarray, salt: int) -> np.ndarray:
+        key = self.number + np.uint64(salt * self.bands)
         for r in low.reshape(self.bands, self.rows).T:
             key = _mixed(key + r)
-        return key.view(np.int64).tolist()
+        return key.view(np.int64)
 
 
 def fingerprint(ws: list[str]) -> int:

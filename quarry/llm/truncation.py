@@ -1,7 +1,8 @@
 """Texts that lost their end.
 
-Near-copies are found by minwise bands over the opening words (a cut copy shares its opening with
-the whole text, not its length) and each is aligned word by word with all of them. Where one copy's alignment ends while the
+Near-copies are found by minwise bands over openings of 5, 10, 20, ... words up to the whole text (a
+cut copy shares its opening with the whole text, not its length): a text is looked up by the longest
+opening before its last word, under which every longer copy is filed too. Each is aligned word by word with all of them. Where one copy's alignment ends while the
 other goes on inside a word or a sentence, that copy is cut; where it ends at the end of a sentence,
 it is whole. Texts without such a copy are judged by how they close: an unclosed bracket, quotation
 or region header, a mark of omission, or closing words that end no finished sentence of the corpus.
@@ -19,6 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -30,8 +32,8 @@ from quarry.llm.sentences import CLOSERS, HARD, Splitter, Verdicts, verdicts
 from quarry.plans.durable import cut
 from quarry.plans.spread import spread
 
-#: words of the opening that copies share, and the sketch of its shingles
-HEAD, SHINGLE, BANDS, ROWS = 24, 3, 8, 4
+#: words of the shortest opening, each further one being twice as long, and the sketch of its shingles
+HEAD, SHINGLE, BANDS, ROWS = 5, 3, 16, 4
 #: share of words in which the aligned part of a copy may differ
 SHARE = 0.1
 #: finished sentences that must close with the same words
@@ -182,11 +184,15 @@ def _judged(texts: DataFrame, v: Verdicts) -> tuple[DataFrame, DataFrame]:
                     state, bare, close = judge.verdict(text, spans)
                     ws = nc.words(bare)
                     ends = Counter(h for u in judge.finished(text, spans) for h in closings(u))
-                    seen[text] = (state, close, nc.fingerprint(ws if len(bare) == len(text) else nc.words(text)), len(ws), sketch.keys(ws[:HEAD]) if len(ws) >= HEAD else [], list(ends), list(ends.values()))
+                    bands = sketch.openings(ws, HEAD)
+                    # the last word may be cut, so it is not looked up
+                    asked = bands[-1 - (HEAD << len(bands) - 1 == len(ws)) :][:1] if state != "whole" and len(ws) > HEAD else []
+                    cls = nc.fingerprint(ws if len(bare) == len(text) else nc.words(text))
+                    seen[text] = (state, close, cls, len(ws), *(np.concatenate(x) if x else [] for x in (bands, asked)), list(ends), list(ends.values()))
                 rows.append((i, f, *seen[text]))
-            yield pd.DataFrame(rows, columns=["id", "field", "state", "close", "cls", "n", "bands", "ends", "counts"])
+            yield pd.DataFrame(rows, columns=["id", "field", "state", "close", "cls", "n", "bands", "asked", "ends", "counts"])
 
-    table = cut(spread(texts).mapInPandas(each, "id long, field string, state string, close array<long>, cls long, n int, bands array<long>, ends array<long>, counts array<int>"), "judged")
+    table = cut(spread(texts).mapInPandas(each, "id long, field string, state string, close array<long>, cls long, n int, bands array<long>, asked array<long>, ends array<long>, counts array<int>"), "judged")
     ends = table.select(F.explode(F.arrays_zip("ends", "counts")).alias("z")).groupBy(F.col("z.ends").alias("h")).agg(F.sum("z.counts").alias("seen"))
     return table, ends
 
@@ -246,13 +252,15 @@ def _aligner(v: Verdicts):
 def _pairs(table: DataFrame) -> DataFrame:
     """Each unfinished class with every class of its opening that is as long or longer: ``cls_s, rep_s, cls_f, rep_f``."""
     reps = table.filter("size(bands) > 0").groupBy("cls").agg(
-        F.min(F.struct("id", "field")).alias("rep"), F.first("state").alias("state"), F.first("n").alias("n"), F.first("bands").alias("bands")
+        F.min(F.struct("id", "field")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.max("asked").alias("asked")
     )
-    flat = reps.select("cls", "rep", "state", "n", F.explode("bands").alias("key"))
-    short = flat.filter("state <> 'whole'").select("key", F.col("cls").alias("cls_s"), F.col("rep").alias("rep_s"), F.col("n").alias("n_s"))
+    short = reps.select(F.explode("asked").alias("key"), F.col("cls").alias("cls_s"), F.col("n").alias("n_s"))
     # texts of one opening may go on differently, so none of them stands for the others
-    full = flat.select("key", F.col("cls").alias("cls_f"), F.col("rep").alias("rep_f"), F.col("n").alias("n_f"))
-    return short.join(full, "key").filter("n_f >= n_s and cls_f <> cls_s").select("cls_s", "rep_s", "cls_f", "rep_f").distinct()
+    full = reps.select(F.explode("bands").alias("key"), F.col("cls").alias("cls_f"), F.col("n").alias("n_f"))
+    pairs = short.join(full, "key").filter("n_f >= n_s and cls_f <> cls_s").select("cls_s", "cls_f").distinct()
+    for side in "sf":
+        pairs = pairs.join(reps.select(F.col("cls").alias(f"cls_{side}"), F.col("rep").alias(f"rep_{side}")), f"cls_{side}")
+    return pairs.select("cls_s", "rep_s", "cls_f", "rep_f")
 
 
 def examined(df: DataFrame, key: str, fields: Sequence[str], v: Verdicts | None = None) -> tuple[DataFrame, DataFrame]:

@@ -120,3 +120,26 @@ def test_every_text_of_an_opening_is_tried(spark):
     ] + [(10 + i, f"Seen in the left. Number {i} of the aor.", "s") for i in range(9)]
     df = spark.createDataFrame(rows, "sample_id long, t string, source string")
     assert sorted(r.sample_id for r in tr.truncated(df, "sample_id", ["t"]).collect()) == [1, 4]
+
+
+def test_openings_of_every_length(spark):
+    """Texts cut before their 24th word, and copies with edits in their first words, meet their copies."""
+    rnd = random.Random(5)
+    s = nc.Sketch(tr.BANDS, tr.ROWS, tr.SHINGLE)
+    long = [f"w{rnd.randrange(500)}" for _ in range(300)]
+    assert [len(x) for x in s.openings(long, 5)] == [tr.BANDS] * 6 and s.openings(long[:4], 5) == []
+    assert [x.tolist() for x in s.openings(long[:25], 5)] == [x.tolist() for x in s.openings(long, 5)[:3]]
+    rows, cut = [], []
+    for i in range(60):
+        full = [f"v{rnd.randrange(2000)}" for _ in range(120)]
+        n = rnd.choice([6, 7, 10, 11, 15, 21, 23]) if i < 40 else 110
+        part = full[:n]
+        if i >= 40:
+            for k in rnd.sample(range(24), 3):
+                part[k] = "other"
+        rows += [(2 * i, " ".join(part)), (2 * i + 1, " ".join(full) + ".")]
+        # closing words that end finished sentences say nothing, so only the copy can
+        rows += [(1000 + 2 * i + k, f"Text {i} has {k}. So it is {' '.join(part[-4:])}.") for k in range(6)]
+        cut.append(2 * i)
+    df = spark.createDataFrame(rows, "sample_id long, t string")
+    assert sorted(r.sample_id for r in tr.truncated(df, "sample_id", ["t"]).collect()) == cut
