@@ -28,7 +28,7 @@ from quarry.plans.spread import spread
 
 #: consecutive words that make a leak
 RUN = 12
-#: terms of a window whose postings are intersected
+#: terms of a window whose postings are intersected, where no word may be missing
 ANCHORS = 3
 #: most rows of the item side that are sent to all executors
 SENT = 200_000
@@ -75,8 +75,10 @@ class Index:
         return self.postings(terms, size).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def _windows(index: Index, items: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Items with their windows' anchors, and the anchors by term."""
+def _windows(index: Index, items: DataFrame, missing: int) -> tuple[DataFrame, DataFrame, int]:
+    """Items with their windows' anchors, and the anchors by term. Of ``missing + 1`` anchors at least
+    one is hit wherever no more than ``missing`` words of the window are missing."""
+    count = missing + 1 if missing else ANCHORS
     flat = items.select("item_id", F.posexplode("words").alias("ipos", "term"))
     terms = cut(flat.select("term").distinct(), "terms")
     df = cut(index.frequencies(terms, terms.count()), "frequencies")
@@ -88,8 +90,8 @@ def _windows(index: Index, items: DataFrame) -> tuple[DataFrame, DataFrame, int]
     windows = ranked.withColumn(
         "windows",
         F.expr(f"""transform(sequence(0, size(at) - {RUN}), s -> named_struct('start', s, 'anchors',
-            slice(array_sort(transform(slice(at, s + 1, {RUN}), x -> named_struct('df', x.df, 'ipos', x.ipos, 'term', x.term))), 1, {ANCHORS})))"""),
-    ).select("item_id", F.expr("filter(windows, w -> w.anchors[0].df > 0)").alias("windows"))
+            slice(array_sort(transform(slice(at, s + 1, {RUN}), x -> named_struct('df', x.df, 'ipos', x.ipos, 'term', x.term))), 1, {count})))"""),
+    ).select("item_id", F.expr("windows" if missing else "filter(windows, w -> w.anchors[0].df > 0)").alias("windows"))
     windows = cut(windows.filter(F.size("windows") > 0), "windows")
     anchors = cut(
         windows.select("item_id", F.explode("windows").alias("w")).select("item_id", F.explode("w.anchors").alias("a")).select("item_id", F.col("a.ipos").alias("ipos"), F.col("a.term").alias("term")).distinct(),
@@ -98,17 +100,18 @@ def _windows(index: Index, items: DataFrame) -> tuple[DataFrame, DataFrame, int]
     return windows, anchors, anchors.count()
 
 
-def _intersect(hits: DataFrame, windows: DataFrame, place: str) -> DataFrame:
-    """Windows all of whose anchors were hit at the same ``place``: ``doc_id, item_id, place, starts``."""
-    got = hits.groupBy("doc_id", "item_id", place).agg(F.collect_set("ipos").alias("got")).filter(F.size("got") >= ANCHORS)
-    starts = F.expr("transform(filter(windows, w -> forall(w.anchors, a -> array_contains(got, a.ipos))), w -> w.start)")
+def _intersect(hits: DataFrame, windows: DataFrame, place: str, every: bool = True) -> DataFrame:
+    """Windows all of whose anchors, or at least one of them, were hit at the same ``place``:
+    ``doc_id, item_id, place, starts``."""
+    got = hits.groupBy("doc_id", "item_id", place).agg(F.collect_set("ipos").alias("got")).filter(F.size("got") >= (ANCHORS if every else 1))
+    starts = F.expr(f"transform(filter(windows, w -> {'forall' if every else 'exists'}(w.anchors, a -> array_contains(got, a.ipos))), w -> w.start)")
     return got.join(windows, "item_id").select("doc_id", "item_id", place, starts.alias("starts")).filter(F.size("starts") > 0)
 
 
-def _parts(docs, items, index):
+def _parts(docs, items, index, missing=0):
     index = index or Index(docs)
     words = cut(words_table(items, "item_id", "text", "item_id").filter(F.size("words") >= RUN), "items")
-    windows, anchors, n = _windows(index, words)
+    windows, anchors, n = _windows(index, words, missing)
     hits = index.postings(anchors, n).select("doc_id", "item_id", "ipos", (F.col("dpos") - F.col("ipos")).alias("off"))
     return index, words, windows, hits
 
@@ -136,13 +139,17 @@ def passages(docs: DataFrame, items: DataFrame, index: Index | None = None) -> D
 def proximity(docs: DataFrame, items: DataFrame, index: Index | None = None, slack: int = 3, near: int = 10) -> DataFrame:
     """``doc_id, item_id``: of some window of ``RUN`` words at least ``near`` stand in the document at
     shifts that differ by less than ``2 * slack``, so that a few changed, inserted or lost words do
-    not hide a passage. The rarest terms of the window must be among them."""
-    index, words, windows, hits = _parts(docs, items, index)
+    not hide a passage, whichever they are."""
+    index, words, windows, hits = _parts(docs, items, index, RUN - near)
     b = F.floor(F.col("off") / slack)
     wide = hits.select("doc_id", "item_id", "ipos", F.explode(F.array(b, b + 1)).alias("place"))
     # place p covers the shifts from (p - 1) * slack on
-    found = cut(_intersect(wide, windows, "place").withColumn("low", (F.col("place") - 1) * slack), "hits")
-    both = found.join(words.withColumnRenamed("words", "item_words"), "item_id").join(_texts(index, found), "doc_id")
+    found = cut(_intersect(wide, windows, "place", near == RUN).withColumn("low", (F.col("place") - 1) * slack), "hits")
+    # one row for each document, so that its words are sent once
+    places = found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "low", "starts")).alias("places"))
+    both = places.join(_texts(index, found), "doc_id").select("doc_id", "words", F.explode("places").alias("p")).select("doc_id", "words", "p.*")
+    sent = words.withColumnRenamed("words", "item_words")
+    both = both.join(_small(sent, sent.count()), "item_id")
     same = f"exists(sequence(0, {2 * slack - 1}), d -> get(words, cast(low + s + i + d as int)) = item_words[s + i])"
     return both.filter(F.expr(f"exists(starts, s -> size(filter(sequence(0, {RUN - 1}), i -> {same})) >= {near})")).select("doc_id", "item_id").distinct()
 

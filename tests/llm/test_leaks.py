@@ -56,3 +56,15 @@ def test_proximity_bears_changes(spark):
     docs = spark.createDataFrame([(1, " ".join(changed)), (2, " ".join(reversed(w)))], "doc_id long, text string")
     items = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
     assert [tuple(r) for r in leaks.proximity(docs, items).collect()] == [(1, 1)]
+
+
+def test_proximity_bears_changes_of_rare_words(spark):
+    """The changed words may be the rarest ones, and the new ones may stand nowhere else."""
+    w = [f"u{i}" for i in range(15)]
+    rare = w[:7] + ["rare", "seldom"] + w[9:]
+    changed = w[:7] + ["new", "fresh"] + w[9:]
+    docs = [(1, " ".join(changed)), (2, "rare seldom"), (3, " ".join(w[:7] + ["a", "b", "c"] + w[10:]))]
+    docs += [(10 + i, " ".join(reversed(w))) for i in range(5)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(rare)), (2, " ".join(w[:7] + ["absent"] + w[8:]))], "item_id long, text string")
+    assert sorted(tuple(r) for r in leaks.proximity(docs, items).collect()) == [(1, 1), (1, 2)]
