@@ -91,3 +91,15 @@ def test_spam_pages(spark):
     assert sorted(got) == sorted([*range(1000, 1020), *range(1100, 1120), *range(1200, 1220), 1000])
     assert spam.spam_pages(df.limit(0)).count() == 0
     assert spam.spam_pages(df.filter("doc_id < 300")).count() == 0
+
+
+def test_profile_reads_whole_answers(spark):
+    """The script of an answer is that of all its text without headers, not of its first characters."""
+    from quarry.llm import pairs
+
+    q = "Describe the findings in the lung and answer in English."
+    rows = [(q, "лёгкие чистые " * 40 + "plain words " * 200)] + [(q, "The region 0 is lung: " * 30 + "лёгкие чистые " * 60)]
+    p = pairs.profile(spark.createDataFrame(rows, "question string, answer string"))
+    assert "plain" in p.words
+    p = pairs.profile(spark.createDataFrame(rows[1:], "question string, answer string"))
+    assert not p.words
