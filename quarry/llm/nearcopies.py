@@ -11,6 +11,7 @@ import regex
 import xxhash
 
 _ASCII = re.compile(r"[a-z0-9]+")
+_MIXED = re.compile(r"[A-Za-z0-9]+")
 _ANY = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 
 
@@ -20,6 +21,11 @@ def words(text: str) -> list[str]:
     return (_ASCII if text.isascii() else _ANY).findall(text)
 
 
+def spots(text: str) -> list[tuple[str, int, int]]:
+    """Words as they stand, with their places."""
+    return [(m.group(), m.start(), m.end()) for m in (_MIXED if text.isascii() else _ANY).finditer(text)]
+
+
 @lru_cache(200_000)
 def _word_hash(w: str) -> int:
     return xxhash.xxh64_intdigest(w)
@@ -63,19 +69,29 @@ class Sketch:
 
     def keys(self, ws: list[str]) -> list[int]:
         """One signed 64-bit key for each band."""
-        return self._banded(self._least(shingles(ws, self.k)), 0).tolist()
-
-    def openings(self, ws: list[str], least: int) -> list[np.ndarray]:
-        """The keys of the first ``least``, ``2 * least``, ... words, as far as the text goes. Keys of
-        different lengths differ; every word is hashed once."""
+        return self._banded(self._least(shingles(ws, self.k)), np.uint64(0)).tolist()
+
+    def openings(self, ws: list[str], least: int) -> np.ndarray:
+        """The keys of the first ``least``, ``2 * least``, ... words, as far as the text goes, one row for
+        each opening. Keys of different lengths differ; every word is hashed once."""
+        sizes = []
+        while least << len(sizes) <= len(ws):
+            sizes.append(least << len(sizes))
+        if not sizes:
+            return np.zeros((0, self.bands), np.int64)
         x = runs(ws, self.k)
-        low, at, out, n = None, 0, [], least
-        while n <= len(ws):
-            to = max(1, n - self.k + 1)
-            low = self._least(x[at:to], low)
-            out.append(self._banded(low, n))
-            at, n = to, 2 * n
-        return out
+        ends = [max(1, n - self.k + 1) for n in sizes]
+        if ends[-1] <= self.CHUNK:
+            seg = np.minimum.reduceat(self.a * x[None, : ends[-1]] + self.b, [0, *ends[:-1]], axis=1)
+            low = np.minimum.accumulate(seg, axis=1).T
+        else:
+            rows, at, last = [], 0, None
+            for to in ends:
+                last = self._least(x[at:to], last)
+                rows.append(last)
+                at = to
+            low = np.stack(rows)
+        return self._banded(low, np.array(sizes, np.uint64)[:, None])
 
     def _least(self, x: np.ndarray, low: np.ndarray | None = None) -> np.ndarray:
         if low is None:
@@ -85,13 +101,25 @@ class Sketch:
             low = np.minimum(low, (self.a * x[None, i : i + self.CHUNK] + self.b).min(axis=1))
         return low
 
-    def _banded(self, low: np.ndarray, salt: int) -> np.ndarray:
-        key = self.number + np.uint64(salt * self.bands)
-        for r in low.reshape(self.bands, self.rows).T:
-            key = _mixed(key + r)
+    def _banded(self, low: np.ndarray, salt) -> np.ndarray:
+        """The keys of the minima in the last axis of ``low``."""
+        key = self.number + np.uint64(self.bands) * salt
+        parts = low.reshape(*low.shape[:-1], self.bands, self.rows)
+        for r in range(self.rows):
+            key = _mixed(key + parts[..., r])
         return key.view(np.int64)
 
 
+def successions(ws: list[str]) -> np.ndarray:
+    """A signed 32-bit hash of each word but the last and the first character after it: item ``k - 1``
+    tells of the words ``k - 1`` and ``k``."""
+    if len(ws) < 2:
+        return np.zeros(0, np.int32)
+    h = np.fromiter(map(_word_hash, ws[:-1]), np.uint64, len(ws) - 1)
+    first = np.fromiter((ord(w[0]) for w in ws[1:]), np.uint64, len(ws) - 1)
+    return (_mixed(h + first * _MIX2) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def fingerprint(ws: list[str]) -> int:
     """Signed 64-bit hash of a word sequence."""
     x = xxhash.xxh3_64_intdigest(" ".join(ws))

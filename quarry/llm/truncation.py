@@ -2,10 +2,14 @@
 
 Near-copies are found by minwise bands over openings of 5, 10, 20, ... words up to the whole text (a
 cut copy shares its opening with the whole text, not its length): a text is looked up by the longest
-opening before its last word, under which every longer copy is filed too. Each is aligned word by word with all of them. Where one copy's alignment ends while the
-other goes on inside a word or a sentence, that copy is cut; where it ends at the end of a sentence,
-it is whole. Texts without such a copy are judged by how they close: an unclosed bracket, quotation
-or region header, a mark of omission, or closing words that end no finished sentence of the corpus.
+opening before its last word, under which every longer copy is filed too. A candidate must hold the
+text's last full word, followed by the same first character, near the place where the text ends; this
+is tested by a bit in the band join and by a hash of every such place afterwards, and drops nothing
+that the alignment would accept. The rest are aligned word by word. Where one copy's alignment ends
+while the other goes on inside a word or a sentence, that copy is cut; where it ends at the end of a
+sentence, it is whole. Texts without such a copy are judged by how they close: an unclosed bracket,
+quotation or region header, a mark of omission, or closing words that seldom end the finished
+sentences of the corpus.
 
 Defined results
     * null, empty, blank texts, placeholders and texts of headers only are no cases
@@ -23,7 +27,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -33,11 +37,12 @@ from quarry.plans.durable import cut
 from quarry.plans.spread import spread
 
 #: words of the shortest opening, each further one being twice as long, and the sketch of its shingles
-HEAD, SHINGLE, BANDS, ROWS = 5, 3, 16, 4
+HEAD, SHINGLE, BANDS, ROWS = 5, 3, 8, 3
 #: share of words in which the aligned part of a copy may differ
 SHARE = 0.1
-#: finished sentences that must close with the same words
-SEEN = 2
+#: finished sentences with the same last four words (of three words: thrice as many) for each different
+#: text, and the least number of them in a small corpus
+RATE, SEEN = 2e-5, 2
 #: placeholders and other texts that state nothing (fixed list)
 NOTHING = frozenset("nan none null n/a na n.a nil unk <unk> answer report findings response output - -- . .. ? [] {} () \"\" '' tbd".split())
 
@@ -80,17 +85,29 @@ def omission(text: str) -> re.Match | None:
     return OMISSION.search(text)
 
 
-def tail(unit: str) -> list[str]:
-    return ["#" if p[0].isdigit() else p for p in PIECE.findall(unit.lower())]
+def stops(text: str) -> bool:
+    """Does a stripped text end with a final stop that is no mark of omission?"""
+    return FINISHED.search(text) is not None and omission(text) is None
+
+
+def tail(unit: str, k: int) -> list[str]:
+    """The last ``k`` pieces of a unit, numbers as ``#``. Pieces hold no white space, so only as many
+    words as it takes are looked at."""
+    at = len(unit)
+    while True:
+        at = max(unit.rfind(" ", 0, max(at - 40, 0)), 0)
+        got = PIECE.findall(unit[at:].lower())
+        if at == 0 or len(got) >= k:
+            return ["#" if p[0].isdigit() else p for p in got[-k:]]
 
 
 def closings(unit: str) -> list[int]:
     """Hashes of the last words of a finished sentence, four and three pieces long."""
     unit = FINISHED.sub("", unit)
-    t = tail(unit[-100:])
+    t = tail(unit, 4)
     if DENSE.search(unit[-3:] or " "):
-        return [_hash("d", t[-4:])]
-    return [_hash("w", t[-4:]), _hash("v", t[-3:])]
+        return [_hash("d", t)]
+    return [_hash("w", t), _hash("v", t[-3:])]
 
 
 def _hash(kind: str, pieces: Sequence[str]) -> int:
@@ -171,8 +188,29 @@ def _texts(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     return df.select(df[key].cast("long").alias("id"), F.explode(cells).alias("c")).select("id", "c.field", "c.text").filter(r"text rlike '\\S'")
 
 
-def _judged(texts: DataFrame, v: Verdicts) -> tuple[DataFrame, DataFrame]:
-    """Texts with their state, class and bands; and how often closings end finished sentences."""
+def most_edits(n: int) -> int:
+    """Words in which copies of an opening of ``n`` words may differ, one more for the shift."""
+    return int(SHARE * n) + 1
+
+
+def _filed(ws: list[str], sketch: nc.Sketch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Band keys of the openings, one row for each; for each opening a bit for every succession of
+    words with which a text that asks for it may end; and all successions as 16 bits."""
+    bands, codes = sketch.openings(ws, HEAD), nc.successions(ws)
+    bits = np.uint64(1) << (codes & 63).astype(np.uint64)
+    marks = np.zeros(len(bands), np.uint64)
+    for i in range(len(bands)):
+        n = HEAD << i
+        seen = bits[max(n - most_edits(n), 1) - 1 : 2 * n - 1 + most_edits(2 * n - 1)]
+        marks[i] = np.bitwise_or.reduce(seen) if len(seen) else 0
+    return bands, marks.view(np.int64), (codes >> 6).astype(np.int16)
+
+
+COLUMNS = "id long, field string, state string, close array<long>, cls long, n int, bands array<long>, marks array<long>, codes array<short>, asked array<long>, bit long, code short, ends array<long>, counts array<int>"
+
+
+def _judged(texts: DataFrame, v: Verdicts) -> DataFrame:
+    """Texts with their state, class, keys and closings, as a table."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         judge, sketch = Judge(v), nc.Sketch(BANDS, ROWS, SHINGLE)
@@ -184,17 +222,30 @@ def _judged(texts: DataFrame, v: Verdicts) -> tuple[DataFrame, DataFrame]:
                     state, bare, close = judge.verdict(text, spans)
                     ws = nc.words(bare)
                     ends = Counter(h for u in judge.finished(text, spans) for h in closings(u))
-                    bands = sketch.openings(ws, HEAD)
-                    # the last word may be cut, so it is not looked up
-                    asked = bands[-1 - (HEAD << len(bands) - 1 == len(ws)) :][:1] if state != "whole" and len(ws) > HEAD else []
+                    bands, marks, codes = _filed(ws, sketch)
+                    asked, bit, code = [], 0, 0
+                    if len(ws) > HEAD:
+                        last = nc.successions(ws[-2:])
+                        bit, code = int(last[0] & 63), int((last >> 6).astype(np.int16)[0])
+                        if state != "whole":
+                            # the last word may be cut, so it is not looked up
+                            asked = bands[len(bands) - 1 - (HEAD << len(bands) - 1 == len(ws))]
                     cls = nc.fingerprint(ws if len(bare) == len(text) else nc.words(text))
-                    seen[text] = (state, close, cls, len(ws), *(np.concatenate(x) if x else [] for x in (bands, asked)), list(ends), list(ends.values()))
+                    seen[text] = (state, close, cls, len(ws), bands.ravel(), marks, codes, asked, bit, code, list(ends), list(ends.values()))
                 rows.append((i, f, *seen[text]))
-            yield pd.DataFrame(rows, columns=["id", "field", "state", "close", "cls", "n", "bands", "asked", "ends", "counts"])
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in COLUMNS.split(", ")])
 
-    table = cut(spread(texts).mapInPandas(each, "id long, field string, state string, close array<long>, cls long, n int, bands array<long>, asked array<long>, ends array<long>, counts array<int>"), "judged")
-    ends = table.select(F.explode(F.arrays_zip("ends", "counts")).alias("z")).groupBy(F.col("z.ends").alias("h")).agg(F.sum("z.counts").alias("seen"))
-    return table, ends
+    return cut(spread(texts).mapInPandas(each, COLUMNS), "judged")
+
+
+def _classes(table: DataFrame, real: Column | bool = True) -> DataFrame:
+    """One row for each sequence of words: its first row, keys and closings, and whether it occurs in
+    real rows. As a table."""
+    first = ("n", "bands", "marks", "codes", "bit", "code", "ends", "counts")
+    real = F.lit(real) if isinstance(real, bool) else real
+    return cut(
+        table.groupBy("cls").agg(F.min(F.struct("id", "field")).alias("rep"), F.max(real).alias("real"), *(F.first(c).alias(c) for c in first), F.max("asked").alias("asked")), "classes"
+    )
 
 
 #: how an aligned pair ends
@@ -206,14 +257,13 @@ def align(short: str, full: str, abbreviation: dict[str, bool]) -> str | None:
     at the end of one of its sentences, or None if the two are no copies."""
     m = OMISSION.search(short.rstrip())
     bare = short.rstrip()[: m.start()].rstrip() if m else short.rstrip()
-    spots = [(x.group(), x.start(), x.end()) for x in _WORDS.finditer(bare)]
-    whole = [(x.group(), x.start(), x.end()) for x in _WORDS.finditer(full)]
+    spots, whole = nc.spots(bare), nc.spots(full)
     a, b = [x[0].lower() for x in spots], [x[0].lower() for x in whole]
-    if len(a) < 6 or len(b) < len(a):
+    if len(a) <= HEAD or len(b) < len(a):
         return None
     # the last word may be cut, so all but it must agree with the opening of the other copy
     head = a[:-1]
-    most = int(SHARE * len(head)) + 1
+    most = most_edits(len(head))
     fit = None
     for shift in sorted(range(-most, most + 1), key=abs):
         k = len(head) + shift
@@ -236,9 +286,6 @@ def align(short: str, full: str, abbreviation: dict[str, bool]) -> str | None:
     return END if re.search(r"[.!?。！？।؟۔]", between) else CUT
 
 
-_WORDS = re.compile(r"[^\W_]+")
-
-
 def _aligner(v: Verdicts):
     known = {w: True for w, is_one in v.abbreviation.items() if is_one}
 
@@ -249,36 +296,44 @@ def _aligner(v: Verdicts):
     return aligned
 
 
-def _pairs(table: DataFrame) -> DataFrame:
-    """Each unfinished class with every class of its opening that is as long or longer: ``cls_s, rep_s, cls_f, rep_f``."""
-    reps = table.filter("size(bands) > 0").groupBy("cls").agg(
-        F.min(F.struct("id", "field")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.max("asked").alias("asked")
-    )
-    short = reps.select(F.explode("asked").alias("key"), F.col("cls").alias("cls_s"), F.col("n").alias("n_s"))
+def _pairs(classes: DataFrame) -> DataFrame:
+    """Each unfinished class with every class of its opening that is as long or longer and goes on in
+    the same way where it ends: ``cls_s, rep_s, rep_f``."""
+    short = classes.filter("size(asked) > 0").select(F.explode("asked").alias("key"), F.col("cls").alias("cls_s"), F.col("n").alias("n_s"), "bit", "code")
     # texts of one opening may go on differently, so none of them stands for the others
-    full = reps.select(F.explode("bands").alias("key"), F.col("cls").alias("cls_f"), F.col("n").alias("n_f"))
-    pairs = short.join(full, "key").filter("n_f >= n_s and cls_f <> cls_s").select("cls_s", "cls_f").distinct()
-    for side in "sf":
-        pairs = pairs.join(reps.select(F.col("cls").alias(f"cls_{side}"), F.col("rep").alias(f"rep_{side}")), f"cls_{side}")
-    return pairs.select("cls_s", "rep_s", "cls_f", "rep_f")
-
-
-def examined(df: DataFrame, key: str, fields: Sequence[str], v: Verdicts | None = None) -> tuple[DataFrame, DataFrame]:
-    """Every text that is not blank with its closings (a table), and ``id, field, truncated`` with
-    the evidence as votes (1 cut, 0 whole, -1 silent): by its marks, closing words, and copies."""
+    full = (
+        classes.filter("real and size(bands) > 0")
+        .select("cls", "n", "marks", F.posexplode("bands").alias("p", "key"))
+        .select("key", F.col("cls").alias("cls_f"), F.col("n").alias("n_f"), F.expr(f"marks[cast(p div {BANDS} as int)]").alias("marks"))
+    )
+    marked = F.expr("(shiftright(marks, cast(bit as int)) & 1L) = 1")
+    pairs = short.join(full, "key").filter(marked & F.expr("n_f >= n_s and cls_f <> cls_s")).select("cls_s", "cls_f", "n_s", "code").distinct()
+    most = F.expr(f"cast({SHARE} * (n_s - 1) as int) + 1")
+    start = F.greatest(F.col("n_s") - 1 - most, F.lit(1))
+    near = F.slice("codes", start, F.col("n_s") + most - start)
+    pairs = pairs.join(classes.select(F.col("cls").alias("cls_f"), F.col("rep").alias("rep_f"), "codes"), "cls_f").filter(F.array_contains(near, F.col("code")))
+    return pairs.select("cls_s", "rep_f").join(classes.select(F.col("cls").alias("cls_s"), F.col("rep").alias("rep_s")), "cls_s")
+
+
+def examined(df: DataFrame, key: str, fields: Sequence[str], v: Verdicts | None = None, real: Column | bool = True) -> tuple[DataFrame, DataFrame]:
+    """Every class of texts that are not blank, with its closings (a table), and ``id, field, cls,
+    truncated`` of each text with the evidence as votes (1 cut, 0 whole, -1 silent): by its marks,
+    closing words, and copies. Rows for which ``real`` (on ``id``) is false are judged by the others."""
     texts = _texts(df, key, fields)
     v = v or verdicts(texts.select("text"))
-    table, ends = _judged(texts, v)
-    enough = F.when(F.col("p") == 0, F.lit(SEEN)).otherwise(F.lit(3 * SEEN))
+    table = _judged(texts, v)
+    classes = _classes(table, real)
+    ends = classes.filter("real").select(F.explode(F.arrays_zip("ends", "counts")).alias("z")).groupBy(F.col("z.ends").alias("h")).agg(F.sum("z.counts").alias("seen"))
+    least = max(SEEN, RATE * classes.filter("real").count())
     seen = (
         table.filter("state = 'open'")
         .select("cls", F.posexplode("close").alias("p", "h"))
         .distinct()
         .join(ends, "h")
         .groupBy("cls")
-        .agg(F.bool_or(F.col("seen") >= enough).alias("closes"))
+        .agg(F.bool_or(F.col("seen") >= F.when(F.col("p") == 0, F.lit(least)).otherwise(F.lit(3 * least))).alias("closes"))
     )
-    pairs = cut(_pairs(table), "openings")
+    pairs = cut(_pairs(classes), "openings")
     wanted = pairs.select("rep_s").union(pairs.select("rep_f")).distinct().select(F.col("rep_s.id").alias("id"), F.col("rep_s.field").alias("field"))
     got = texts.join(wanted, ["id", "field"], "left_semi").dropDuplicates(["id", "field"]).select(F.struct("id", "field").alias("rep"), "text")
     both = pairs
@@ -292,7 +347,7 @@ def examined(df: DataFrame, key: str, fields: Sequence[str], v: Verdicts | None
     own = F.when(F.col("state") == "open", -1).otherwise((F.col("state") == "cut").cast("int"))
     close = F.when(F.col("state") == "open", alone.cast("int")).otherwise(-1)
     copy = F.coalesce(F.col("cut").cast("int"), F.lit(-1))
-    return table, out.select("id", "field", verdict.alias("truncated"), own.alias("by_marks"), close.alias("by_words"), copy.alias("by_copy"))
+    return classes, out.select("id", "field", "cls", verdict.alias("truncated"), own.alias("by_marks"), close.alias("by_words"), copy.alias("by_copy"))
 
 
 def states(df: DataFrame, key: str, fields: Sequence[str], v: Verdicts | None = None) -> DataFrame:

@@ -127,7 +127,7 @@ def test_openings_of_every_length(spark):
     rnd = random.Random(5)
     s = nc.Sketch(tr.BANDS, tr.ROWS, tr.SHINGLE)
     long = [f"w{rnd.randrange(500)}" for _ in range(300)]
-    assert [len(x) for x in s.openings(long, 5)] == [tr.BANDS] * 6 and s.openings(long[:4], 5) == []
+    assert s.openings(long, 5).shape == (6, tr.BANDS) and len(s.openings(long[:4], 5)) == 0
     assert [x.tolist() for x in s.openings(long[:25], 5)] == [x.tolist() for x in s.openings(long, 5)[:3]]
     rows, cut = [], []
     for i in range(60):
@@ -143,3 +143,47 @@ def test_openings_of_every_length(spark):
         cut.append(2 * i)
     df = spark.createDataFrame(rows, "sample_id long, t string")
     assert sorted(r.sample_id for r in tr.truncated(df, "sample_id", ["t"]).collect()) == cut
+
+
+def test_no_longest_text_hides_a_copy(spark):
+    """The evidence of the copy does not depend on what else shares the opening."""
+    full = "The lung is clear on image 12 today and a nodule of 3 mm lies in the left lobe near the hilum."
+    rows = [(1, full[:70], "s"), (2, full, "s"), (3, full[:60] + " nothing else. " + "Many other words follow in this one. " * 20, "s")]
+    for n in (2, 3):
+        df = spark.createDataFrame(rows[:n], "sample_id long, t string, source string")
+        got = {r.id: r.by_copy for r in tr.examined(df, "sample_id", ["t"])[1].collect()}
+        assert got[1] == 1
+
+
+def test_filters_keep_what_the_alignment_accepts(spark):
+    """Candidates by bit and by succession hold every pair of a shared band that aligns."""
+    rnd = random.Random(9)
+    texts = []
+    for _ in range(25):
+        full = [f"v{rnd.randrange(40)}" for _ in range(rnd.randint(8, 90))]
+        texts.append(" ".join(full) + ".")
+        for _ in range(4):
+            part = full[: rnd.randint(6, len(full))]
+            for _ in range(rnd.choice([0, 0, 1, 3])):
+                k = rnd.randrange(len(part))
+                rnd.choice([lambda: part.__setitem__(k, "new"), lambda: part.insert(k, "ins"), lambda: part.pop(k)])()
+            texts.append(" ".join(part))
+    sketch, judge = nc.Sketch(tr.BANDS, tr.ROWS, tr.SHINGLE), tr.Judge(tr.Verdicts([]))
+    known = set(texts)
+    rows = [(i, t) for i, t in enumerate(sorted(known))]
+    df = spark.createDataFrame(rows, "sample_id long, t string")
+    classes = tr._classes(tr._judged(tr._texts(df, "sample_id", ["t"]), tr.Verdicts([])))
+    got = {(r.rep_s.id, r.rep_f.id) for r in tr._pairs(classes).collect()}
+    want = set()
+    words = {i: nc.words(t) for i, t in rows}
+    keys = {i: sketch.openings(w, tr.HEAD) for i, w in words.items()}
+    rep = {i: min(j for j, u in words.items() if u == w) for i, w in words.items()}
+    for i, t in rows:
+        w = words[i]
+        if judge.verdict(t, judge.split.spans(t))[0] == "whole" or len(w) <= tr.HEAD:
+            continue
+        level = max(k for k in range(9) if tr.HEAD << k <= len(w) - 1)
+        for j, u in rows:
+            if i != j and w != words[j] and len(words[j]) >= len(w) and (keys[i][level] == keys[j][level]).any() and tr.align(t, u, {}):
+                want.add((rep[i], rep[j]))
+    assert len(want) > 40 and want <= got
