@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 from quarry.llm import pairs, spam
-from quarry.llm.labelmodel import LabelModel
+from quarry.llm.labelmodel import LabelModel, cutoff
 
 
 def test_label_model_recovers_accuracies():
@@ -17,7 +17,11 @@ def test_label_model_recovers_accuracies():
     m = LabelModel([0.8, 0.8, 0.8], 0.05).fit(pats, counts.astype(float))
     assert abs(m.pi - 0.1) < 0.03 and m.rates[1][0] > 0.85 and m.rates[0][0] < 0.1
     p = m.posterior(votes)
-    assert ((p > m.cutoff(pats, counts)) == y).mean() > 0.95
+    at, truth = np.concatenate([pats, pats]), np.repeat([True, False], len(pats))
+    n = np.array([((votes == v).all(axis=1) & (y == t)).sum() for v, t in zip(at, truth)], float)
+    cut = cutoff(m.posterior(at), truth, n, 0.1)
+    assert ((p >= cut.at) == y).mean() > 0.95 and cut.precision > 0.7 and cut.recall > 0.8
+    assert cutoff(np.zeros(0), np.zeros(0, bool), np.zeros(0), 0.1).at == 0.5
     assert m.posterior(np.array([[-1, -1, -1]]))[0] == np.float64(m.pi) or abs(m.posterior(np.array([[-1, -1, -1]]))[0] - m.pi) < 1e-9
 
 
@@ -55,6 +59,48 @@ def test_defects(spark):
     assert set(got) <= lab
 
 
+SCRIPTED = {
+    "ru": "Лёгкие чистые, узлов нет.", "zh": "双肺清晰，未见结节。", "ja": "両肺に結節はありません。", "ar": "الرئتان صافيتان ولا توجد عقيدات.",
+    "hi": "फेफड़े साफ हैं और कोई गाँठ नहीं है।", "th": "ปอดใสไม่พบก้อน", "ko": "폐는 깨끗하고 결절이 없습니다.", "de": "Die Lunge ist frei und das Herz ist nicht vergrößert.",
+    "fr": "Les poumons sont clairs et le coeur est normal.", "es": "Los pulmones están claros y el corazón es normal.",
+}
+
+
+def test_every_script_is_another_language(spark):
+    """An answer in another script is in another language, whatever the word profiles know."""
+    rnd = random.Random(2)
+    q = "Describe all findings of this chest CT."
+    ends = ["The lung is clear", "The heart is of normal size", "There is no nodule in the left lobe", "A nodule of 3 mm lies in the right lobe"]
+    make = lambda: ". ".join(rnd.choices(ends, k=rnd.randint(3, 7))) + "."
+    rows = [(i, q, make(), make()) for i in range(300)]
+    foreign = [(1000 + i, q, f"The region 0 is lung: {t} {t}", make()) for i, (lang, t) in enumerate(SCRIPTED.items()) if pairs.script(t) != "latin"]
+    right = [(2000 + i, q + f" Please answer in {name.capitalize()}.", f"{t} {t} 3 mm.", make()) for i, (name, t) in enumerate((n, SCRIPTED[c]) for n, c in pairs.ASKED.items() if c in SCRIPTED and n.isascii() and n in ("russian", "chinese", "japanese", "arabic", "hindi", "thai", "korean"))]
+    got = {r.sample_id: r.defect for r in pairs.defects(spark.createDataFrame(rows + foreign + right, "sample_id long, Question string, Pred_combined_report string, GT_combined_report string")).collect()}
+    assert len(foreign) == 7 and {k: d for k, d in got.items() if 1000 <= k < 2000} == {r[0]: "wrong_language" for r in foreign}
+    assert "wrong_language" not in {d for k, d in got.items() if k >= 2000 or k < 1000}
+
+
+def test_scripts():
+    assert [pairs.script(t) for t in SCRIPTED.values()] == ["ru", "zh", "ja", "ar", "hi", "th", "ko", "latin", "latin", "latin"]
+    assert pairs.script("a" * 500 + "ж" * 400) == "ru" and pairs.script("a" * 500 + "ж" * 100) == "latin"
+
+
+def test_validation_rows():
+    sample = [("Describe all findings of this chest CT.", "The lung is clear. " * 12), ("Bitte beschreiben Sie alle Befunde.", "Die Lunge ist frei. " * 12)]
+    made = pairs.validation_rows(sample)
+    assert [x[2] for x in made[:6]] == ["none", "empty", "copies_question", "refusal", "truncated", "wrong_language"]
+    assert made[5][1] == sample[1][1] and pairs.validation_rows([]) == []
+
+
+def test_closing_words_of_any_length():
+    from quarry.llm import truncation as tr
+
+    long = "pneumono" * 100
+    unit = f"Some words stand before {long} {long} {long} {long}."
+    assert tr.closings(unit) == tr.closings("Other words before it: " + unit) and tr.tail(unit, 2) == [long, "."]
+    assert tr.tail("a 3x4 b", 2) == ["#", "b"] and tr.tail("", 4) == []
+
+
 def test_odd_long_texts():
     from quarry.llm.sentences import Verdicts
     from quarry.llm.truncation import Judge
