@@ -68,3 +68,48 @@ def test_proximity_bears_changes_of_rare_words(spark):
     docs = spark.createDataFrame(docs, "doc_id long, text string")
     items = spark.createDataFrame([(1, " ".join(rare)), (2, " ".join(w[:7] + ["absent"] + w[8:]))], "item_id long, text string")
     assert sorted(tuple(r) for r in leaks.proximity(docs, items).collect()) == [(1, 1), (1, 2)]
+
+
+def near_brute(docs, items, slack=3, near=10):
+    out = set()
+    for (d, t), (i, u) in ((x, y) for x in docs for y in items):
+        a, b = leaks.normal_words(t or ""), leaks.normal_words(u or "")
+        for s in range(len(b) - leaks.RUN + 1):
+            places = {}
+            for k in range(s, s + leaks.RUN):
+                for p, w in enumerate(a):
+                    if w == b[k]:
+                        q = (p - k) // slack
+                        for place in (q, q + 1):
+                            places.setdefault(place, set()).add(k)
+            if any(len(x) >= near for x in places.values()):
+                out.add((d, i))
+    return out
+
+
+def test_one_index_answers_several_item_sets(spark, monkeypatch):
+    """Small segments, pieces and blocks give the same as large ones; the corpus is indexed once."""
+    monkeypatch.setattr(leaks, "SEGMENT", 300)
+    monkeypatch.setattr(leaks, "PIECE", 20)
+    monkeypatch.setattr(leaks, "BLOCK", 150)
+    rnd = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(60)]
+    text = lambda n: rnd.choices(vocabulary, k=n)
+    items = [(i, text(rnd.randint(5, 70))) for i in range(12)]
+    docs = []
+    for d in range(60):
+        w = rnd.choice(items)[1]
+        k, n = rnd.randint(0, len(w)), rnd.choice([11, 12, 13, 20])
+        part = w[k : k + n]
+        for _ in range(rnd.choice([0, 0, 1, 2]) if part else 0):
+            part[rnd.randrange(len(part))] = rnd.choice(["changed", "w3"])
+        docs.append((d, " ".join(text(rnd.randint(0, 30)) + part + text(8))))
+    items = [(i, " ".join(w)) for i, w in items]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    index = leaks.Index(df)
+    for part in (items[:6], items[6:], items):
+        it = spark.createDataFrame(part, "item_id long, text string")
+        want, wide = brute(docs, part), near_brute(docs, part)
+        assert {tuple(r) for r in leaks.passages(df, it, index).collect()} == want
+        assert {tuple(r) for r in leaks.proximity(df, it, index).collect()} == wide
+    assert len(wide) > len(want) > 5
