@@ -1,14 +1,19 @@
 """Sentence units of texts in any script, as character spans.
 
-Document-centred disambiguation of the period. A first pass over the whole corpus counts, for every
-word that stands before a period, how it goes on (lower case, digit, capital, end of text) and, for
-every word, how often it opens a text. From these counts abbreviations and sentence openers are
-told apart from ordinary words and proper names. The second pass splits each text: a word's
-unambiguous uses in the same text decide where the corpus has no verdict on it; scripts bring their
-own terminators (danda, ideographic stop, Arabic question mark, blank between Thai letters).
+Document-centred disambiguation of the period. A word's unambiguous uses in its own text come first:
+twice or more before a period, always followed by lower case or a digit, and never without the
+period, it is an abbreviation; also without a period, and never followed by lower case or a digit, it
+is none. After an abbreviation a capitalised word that the text has in lower case, too, opens a
+sentence; one that stands capitalised inside sentences is a name and opens none. A text that goes on
+in lower case after most periods, and words all in capitals, show nothing of the kind. Where the text
+is silent or contradicts itself, the corpus decides: a first pass counts, for every word that stands before a
+period, how it goes on (lower case, digit, capital, end of text) and, for every word, how often it
+opens a text. Scripts bring their own terminators (danda, ideographic stop, Arabic question mark,
+blank between Thai letters).
 
 The word tables keep only words above a relative frequency floor, so they hold at most
-``1 / FLOOR`` entries at any corpus size and may be sent to every task.
+``1 / FLOOR`` entries at any corpus size and may be sent to every task; rarer words are left to the
+texts themselves.
 
 Defined results
     * null, empty, blank texts and texts without letters and digits have no units
@@ -39,7 +44,6 @@ EVENT = re.compile(r"[.!?…。！？।॥؟۔]+|[\"“„«「『]|(?<=[฀-
 CLOSERS = {'"': '"', "“": "”", "„": "“”", "«": "»", "「": "」", "『": "』"}
 ENDS = frozenset(".!?…。！？।॥؟۔")
 OPENERS = frozenset("\"“„«「『¿¡([")
-TOKEN = re.compile(r"[^\s(\[\"“„«¿¡>]*\Z")
 WORD = re.compile(r"[^\W\d_]+")
 ITEM = re.compile(r"\s*\(?\d{1,3}\Z")
 ITEM_AHEAD = re.compile(r"\s*(?:\(?\d{1,2}[.)]\s|[-*•]\s)")
@@ -84,7 +88,7 @@ def count_words(texts: Iterable[tuple[str, int]]) -> tuple[dict[str, list[int]],
                             words["\0" + low[i + 1]] += copies
                         continue
                     t = low[i].rstrip(".").lstrip("([\"“«„¿")
-                    if not t or not t[-1].isalpha() or len(t) > 20 or w.endswith(".."):
+                    if not t or not t[-1].isalpha() or w.endswith(".."):
                         continue
                     c = dots.get(t)
                     if c is None:
@@ -108,7 +112,7 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
 
         def rows() -> pd.DataFrame:
             got = [(w, *c, 0, 0) for w, c in dots.items()]
-            got += [(w[1:], 0, 0, 0, 0, n) if w[0] == "\0" else (w, 0, 0, 0, n, 0) for w, n in words.items() if len(w) <= 24]
+            got += [(w[1:], 0, 0, 0, 0, n) if w[0] == "\0" else (w, 0, 0, 0, n, 0) for w, n in words.items()]
             return pd.DataFrame(got, columns=["word", "dots", "goes_on", "at_end", "uses", "opens"])
 
         for b in batches:
@@ -145,16 +149,51 @@ class Verdicts:
 def verdicts(texts: DataFrame) -> Verdicts:
     counts = cut(corpus_counts(texts), "words")
     total = counts.agg(F.sum("uses")).first()[0] or 0
-    kept = counts.filter(F.greatest("uses", "dots") >= max(3, total * FLOOR))
+    kept = counts.filter(F.greatest("uses", "dots") >= total * FLOOR)
     return Verdicts([tuple(r) for r in kept.select("word", "dots", "goes_on", "at_end", "uses", "opens").collect()])
 
 
+class Uses:
+    """How one text uses its words: before a period (all, before lower case, before a digit), without
+    one, and capitalised inside sentences."""
+
+    def __init__(self, text: str):
+        ws = text.split()
+        self.dots: dict[str, tuple[int, int, int]] = {}
+        self.bare: set[str] = set()
+        self.inside: set[str] = set()
+        ended, low, high = True, 0, 0
+        for i, w in enumerate(ws):
+            last = w[-1]
+            if last == ".":
+                t = w[:-1].lstrip(_BEFORE)
+                n = ws[i + 1][0] if i + 1 < len(ws) else " "
+                a, b, c = self.dots.get(t, (0, 0, 0))
+                self.dots[t] = a + 1, b + n.islower(), c + n.isdigit()
+                low, high = low + n.islower(), high + n.isupper()
+            else:
+                t = w if w.isalnum() else w.strip(_AROUND)
+                self.bare.add(t)
+                if not ended and w[0].isupper():
+                    self.inside.add(t)
+            ended = last in _ENDING
+        self.lengths = set(map(len, self.dots))
+        #: do sentences of this text begin with capitals?
+        self.cased = low <= 0.4 * (low + high)
+
+
+_BEFORE = "([\"“„«¿¡>"
+_AROUND = "([\"“„«¿¡>,;:!?)]”»"
+_ENDING = frozenset(".!?…。！？।॥؟۔:\"”»")
+
+
 class Splitter:
     def __init__(self, v: Verdicts):
         self.abbreviation, self.opens = v.abbreviation, v.opens
+        self.lengths = set(map(len, v.abbreviation))
         self._text: str | None = None
-        self._dots: dict[str, tuple[int, int]] = {}
-        self._bare: set[str] = set()
+        self._uses: Uses | None = None
+        self._token = (0, 0)
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         out: list[tuple[int, int]] = []
@@ -180,6 +219,7 @@ class Splitter:
 
     def _segment(self, text: str, s: int, e: int, out: list) -> None:
         first, at, skip = len(out), s, s
+        self._token = (s, s)
         for m in EVENT.finditer(text, s, e):
             i = m.start()
             if i < skip:
@@ -259,37 +299,48 @@ class Splitter:
             return not n.islower()
         return p >= (unknown if n.islower() else 0.02)
 
+    def uses(self, text: str) -> Uses:
+        """Gathered once for each text, and only if a word asks for it."""
+        if self._text is not text:
+            self._text, self._uses = text, Uses(text)
+        return self._uses
+
     def _is_abbreviation(self, text: str, t: str) -> bool | None:
+        own = self.uses(text)
+        if own.cased:
+            n, lower, digit = own.dots.get(t, (0, 0, 0))
+            bare = t in own.bare
+            if lower and n > 1 and lower + digit == n and not bare:
+                return True
+            if bare and n and not lower and not digit and len(t) > 1 and not t.isupper():
+                return False
         low = t.lower()
         v = self.abbreviation.get(low)
         if v is not None:
             return v
-        if "." in low or len(low) == 1:
-            return True
-        # unambiguous uses in this text
-        uses, on = self._own_uses(text).get(t, (0, 0))
-        if on > 1 and on == uses and t not in self._bare:
-            return True
-        return None
+        return True if "." in low or len(low) == 1 else None
 
-    def _own_uses(self, text: str) -> dict[str, tuple[int, int]]:
-        """Words of the text before a period: how often, and how often the text goes on in lower case
-        or with a digit. Gathered once for each text, and only if a word asks for it."""
-        if self._text is not text:
-            dots: dict[str, tuple[int, int]] = {}
-            self._bare = set()
-            ws = text.split()
-            for i, w in enumerate(ws):
-                if w[-1] == ".":
-                    if i + 1 < len(ws):
-                        t = w[:-1].lstrip("([\"“„«¿¡>")
-                        n = ws[i + 1][0]
-                        a, b = dots.get(t, (0, 0))
-                        dots[t] = a + 1, b + (n.islower() or n.isdigit())
-                else:
-                    self._bare.add(w.strip("([\"“„«¿¡>,;:!?)]”»"))
-            self._text, self._dots = text, dots
-        return self._dots
+    def _opens_after_abbreviation(self, text: str, k: int, e: int) -> bool:
+        """Does the text itself show that the capitalised word at ``k`` is no name?"""
+        j = k
+        while j < e and text[j].isalnum():
+            j += 1
+        word, own = text[k:j], self.uses(text)
+        low = word.lower()
+        return own.cased and word[1:].islower() and word not in own.inside and low in own.bare and self.opens.get(low, 1.0) >= 0.02
+
+    def _word_before(self, text: str, at: int, i: int) -> int:
+        """Where the token before the period at ``i`` begins. Periods come in order, so that every
+        character is looked at once."""
+        start, seen = self._token
+        low = seen if at <= start and seen <= i else at
+        j = i
+        while j > low and not text[j - 1].isspace() and text[j - 1] not in _BEFORE:
+            j -= 1
+        if j > low or low == at:
+            start = j
+        self._token = (start, i)
+        return start
 
     def _period(self, text: str, s: int, at: int, i: int, end: int, e: int) -> bool:
         if i == s:
@@ -319,11 +370,14 @@ class Splitter:
             return spaced or n.isupper() or n.isdigit() or n in OPENERS or n.lower() == n.upper()
         if "ऀ" <= p <= "๿":  # the period closes no sentence in these scripts
             return False
-        t = TOKEN.search(text, max(at, i - 24), i).group()
-        short = len(t) == 1
-        v = self._is_abbreviation(text, t)
+        start = self._word_before(text, at, i)
+        short = i - start == 1
+        if i - start not in self.lengths and i - start not in self.uses(text).lengths:  # in no table
+            v = True if short or text.find(".", start, i) >= 0 else None
+        else:
+            v = self._is_abbreviation(text, text[start:i])
         if v:
-            return False
+            return spaced and n.isupper() and not short and self._opens_after_abbreviation(text, k, e)
         if spaced:
             if n.islower():
                 return v is False and self._starts(text, k, e, 0.01) or self._starts(text, k, e, 0.05)

@@ -77,3 +77,33 @@ def test_document_evidence(spark):
     s = S.Splitter(S.Verdicts([]))
     t = "The qrx. value is 3, the qrx. value was 4. Another qrx. Value follows"
     assert [t[a:b] for a, b in s.spans(t)] == ["The qrx. value is 3, the qrx. value was 4.", "Another qrx.", "Value follows"]
+
+
+def cut_by(text, rows):
+    s = S.Splitter(S.Verdicts(rows))
+    return [text[a:b] for a, b in s.spans(text)]
+
+
+def test_the_document_comes_before_the_corpus():
+    """Rows: word, before a period, going on, at the end, uses, opening."""
+    corpus = [("lob", 100, 0, 5, 500, 0), ("seg", 100, 99, 0, 0, 0), ("the", 0, 0, 0, 900, 300), ("is", 0, 0, 0, 900, 0)]
+    # by the corpus ``lob`` ends sentences, but this text shortens with it
+    shows = "The lob. inferior is clear. Here the lob. superior is not."
+    assert cut_by(shows + " It is the lob. Medius.", corpus)[:2] == ["The lob. inferior is clear.", "Here the lob. superior is not."]
+    assert cut_by("Here is the lob. Medius is clear.", corpus) == ["Here is the lob.", "Medius is clear."]
+    # by the corpus ``seg`` is an abbreviation, but this text has it as a word
+    assert cut_by("Here is the seg. Medius is clear.", corpus) == ["Here is the seg. Medius is clear."]
+    assert cut_by("This seg is clear. Here is the seg. Medius is clear.", corpus) == ["This seg is clear.", "Here is the seg.", "Medius is clear."]
+    # a word that the text has in lower case opens a sentence after an abbreviation, a name does not
+    assert cut_by("Here the lung is seen by seg. The lung is clear.", corpus) == ["Here the lung is seen by seg.", "The lung is clear."]
+    assert cut_by("Here the lung is seen by seg. Bel as by Bel before.", corpus) == ["Here the lung is seen by seg. Bel as by Bel before."]
+
+
+def test_words_of_any_length(spark):
+    long = "lob" * 30
+    dots, words = S.count_words([(f"The {long}. inferior is clear.", 1)])
+    assert dots[long] == [1, 1, 0] and words["clear."] == 1
+    corpus = [(long, 100, 99, 0, 0, 0)]
+    assert cut_by(f"Here is the {long}. Medius is clear.", corpus) == [f"Here is the {long}. Medius is clear."]
+    df = spark.createDataFrame([(f"The {long}. inferior is clear. " * 9,)], "text string")
+    assert S.verdicts(df).abbreviation[long]
