@@ -38,13 +38,19 @@ PRIOR = 25.0
 #: weight of the host in the log odds
 HOST = 0.5
 
-LINK = re.compile(r"""<a\s[^>]{0,500}>|</?(?:a|li|ul|ol|nav)\b[^>]{0,500}>|\[[^\]\n]{1,60}\]\([^)\s]{4,}\)|(?:https?://|www\.)[^\s"'<>)\]]+|(?<![\w-])[\w-]{1,63}(?:\.[\w-]{1,63}){0,6}\.[a-z]{2,8}/[^\s"'<>)\]]*""", re.I)
+LINK = re.compile(r"""<a\s[^<>]*+>|</?(?:a|li|ul|ol|nav)\b[^<>]*+>|\[[^\[\]\n]++\]\([^)\s\[]{4,}+\)|(?:https?://|www\.)[^\s"'<>)\]]+|(?<![\w-])(?<![\w-]\.)(?:[\w-]++\.)++[a-z]{2,}+/[^\s"'<>)\]]*""", re.I)
 TAG = re.compile(r"(?<!\w)#[^\W\d_][\w-]*")
-NAV = re.compile(r"^(?:[^\n]{0,40}(?:\s[>»›]\s[^\n>»›]{1,40}){1,8}|(?:tags?|related|categor(?:y|ies)|topics?|labels?|keywords?|see also|more about|read more|next|previous|prev|home|sitemap|search|menu|login|back)\b(?:\s+page)?(?:[:\s][^\n]{0,160})?)$", re.I | re.M)
+#: a part of a trail has at most six words
+_PART = r"[^\s>»›]++(?:[^\S\n]++[^\s>»›]++){0,5}+"
+NAV = re.compile(
+    rf"^(?:(?:{_PART}[^\S\n]++)?[>»›][^\S\n]++{_PART}[^\S\n]*+(?:[>»›][^\S\n]++{_PART}[^\S\n]*+)*+"
+    r"|(?:tags?|related|categor(?:y|ies)|topics?|labels?|keywords?|see also|more about|read more|next|previous|prev|home|sitemap|search|menu|login|back)\b(?:\s+page)?(?:\s*:[^\n]*+|\s[^\n.!?]*+)?)$",
+    re.I | re.M,
+)
 OFFER = re.compile(r"\b(?:sku|item|art)\.?\s*(?:no\.?\s*)?[:#]?\s*\d{3,}|\bin stock\b|\bfree shipping\b|\bsale\s*-?\d+\s*%|\brefurbished\b|\badd to (?:cart|basket)\b|[$€£]\s?\d", re.I)
-#: one of these stands in every offer
+#: one of these stands in every offer, or a number after ``art``
 OFFERS = ("sku", "item", "in stock", "free shipping", "sale", "refurbished", "add to", "$", "€", "£")
-_ART = re.compile(r"\bart\b")
+_ART = re.compile(r"\bart\.?\s*(?:no\.?\s*)?[:#]?\s*\d")
 WORD = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
 SPLIT = re.compile(r"[\n,;|/•»]+|(?<![.!?])[.!?]++\s+|(?<!\s)\s++[-–>]++\s+")
 #: words that seldom belong to a search phrase (fixed list)

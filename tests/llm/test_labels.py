@@ -149,3 +149,18 @@ def test_profile_reads_whole_answers(spark):
     assert "plain" in p.words
     p = pairs.profile(spark.createDataFrame(rows[1:], "question string, answer string"))
     assert not p.words
+
+
+def test_links_and_tags_of_any_length():
+    """Long attributes, domains, tag lines and trails count like short ones."""
+    share = lambda t, f: spam.describe(t)[spam.FEATURES.index(f)]
+    for n in (20, 200, 600, 5000):
+        assert share(f'<a href="http://a.example/{"x" * n}">key</a> ' * 5, "link") > 0.8
+        assert share(f"[{'key ' * n}](http://a.example/x) " * 3, "link") > 0.9
+    for n in (10, 40, 400):
+        assert share("Tags: " + "chest scan, " * n, "nav") > 0.9
+        assert share(" > ".join(["Chest"] * n), "nav") > 0.9
+    assert share("see " + ".".join(["a" * 80] * 9) + ".example/x", "link") > 0.9
+    assert share("Next we compare both lungs with care. They differ.", "nav") == 0
+    for t in ("ART12345 ", "ARTNO99812 ", "art. no. 123 ", "SKU: 991 "):
+        assert share(t * 4, "offer") > 0.7, t
