@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,6 +54,17 @@ def training_labels(ids: Column, prompt: Column, vocabulary: int, pad: int = 0,
     return F.transform(ids, lambda x, i: F.when((x == pad) | (x >= vocabulary) | (i < prompt), F.lit(ignore)).otherwise(x))
 
 
+def ended(ids: Column, valid: Column, end: int) -> Column:
+    """The token after the ``valid`` ones becomes the end of the text; a full row stays as it is."""
+    return F.transform(ids, lambda x, i: F.when(i == valid, F.lit(end)).otherwise(x))
+
+
+def by_hash(items: Column, name: Callable[[Column, Column], Column]) -> Column:
+    """Strings in the order of the MD5 hash of their ``name(item, position)``."""
+    keyed = F.transform(items, lambda x, i: F.struct(F.md5(name(x, i).cast("binary")).alias("h"), x.alias("x")))
+    return F.transform(F.array_sort(keyed), lambda x: x["x"])
+
+
 def padded(ids: Column, length: Column, pad: int = 0) -> Column:
     return F.concat(ids, F.array_repeat(F.lit(pad), F.greatest(length - F.size(ids), F.lit(0))))
 

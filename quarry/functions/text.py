@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quarry import lexicon
+from quarry.functions.arrays import by_hash
 
 
 def canonical_id(c: Column) -> Column:
@@ -30,6 +31,11 @@ def sentences(c: Column) -> Column:
     return _split(F.regexp_replace(squeeze(F.coalesce(c, F.lit(""))), r":\s+(?=[A-Z])", ". "))
 
 
+def shuffled_sentences(c: Column, key: Column, seed: int) -> Column:
+    """The text with its sentences in an order fixed by seed and key: an augmentation of training texts."""
+    return F.array_join(by_hash(sentences(c), lambda x, i: F.concat_ws("-", F.lit(str(seed)), key.cast("string"), i.cast("string"))), " ")
+
+
 def plain_sentences(c: Column) -> Column:
     """Sentences without the header rule, as the phrase audit counts them."""
     return _split(squeeze(F.coalesce(c, F.lit(""))))
@@ -116,24 +122,28 @@ def clock(seconds: Column) -> Column:
 
 
 def thousandths(v: Column) -> Column:
-    """A number from 0 to 1 in thousandths, rounded by its exact binary value with ties to even.
+    return in_parts(v, 1000)
+
+
+def in_parts(v: Column, n: int) -> Column:
+    """A number from 0 to 1 in ``n``-ths, rounded by its exact binary value with ties to even.
 
     Neither ``round`` nor ``format_string`` does this: both round the shortest decimal form, so
-    0.5095 (just below that decimal) would become 510. Scaled by a power of two the double is a whole
-    number, which decimals compare with the middle between two thousandths without any error."""
+    0.5095 (just below that decimal) would become 510 thousandths. Scaled by a power of two the double is a whole
+    number, which decimals compare with the middle between two parts without any error."""
     small = v < 2.0**-9
-    k = F.floor(v * 1000).cast("long")
+    k = F.floor(v * n).cast("long")
     scale = F.when(small, 2.0**71).otherwise(2.0**62)
-    whole = F.when(v < 1, v * scale).otherwise(0.0).cast("long").cast("decimal(20,0)") * F.lit(2000).cast("decimal(10,0)")
+    whole = F.when(v < 1, v * scale).otherwise(0.0).cast("long").cast("decimal(20,0)") * F.lit(2 * n).cast("decimal(10,0)")
     unit = F.when(small, F.lit(str(2**71)).cast("decimal(24,0)")).otherwise(F.lit(str(2**62)).cast("decimal(24,0)"))
 
     def up(k: Column) -> Column:
         middle = (2 * k + 1).cast("decimal(10,0)") * unit
         return F.when((whole > middle) | ((whole == middle) & (k % 2 == 1)), k + 1).otherwise(k)
 
-    # the product above may have been rounded up to the next thousandth
+    # the product above may have been rounded up to the next part
     k = F.when(whole < (2 * k).cast("decimal(10,0)") * unit, k - 1).otherwise(k)
-    return F.when(v >= 1, F.round(v * 1000).cast("long")).otherwise(up(k))
+    return F.when(v >= 1, F.round(v * n).cast("long")).otherwise(up(k))
 
 
 def metric_cell(v: Column, bold: Column) -> Column:

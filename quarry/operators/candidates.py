@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.arrays import cosine
@@ -10,8 +10,22 @@ from quarry.functions.text import set_jaccard, tokens
 from quarry.plans.durable import sized
 
 
+#: most candidates of one sample; a generator draws a few dozen
+MOST = 4_096
+
+
+def checked(df: DataFrame, key: str, most: int = MOST) -> DataFrame:
+    """``df``, if no sample has more than ``most`` candidates. They are gathered in one row afterwards,
+    so this is counted first, on the key alone; too many are an error, never dropped."""
+    worst = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if worst > most:
+        raise ValueError(f"a sample has {worst} candidates, more than {most}: is {key} the right key?")
+    return df
+
+
 def united(df: DataFrame, key: str, k: str, text: str) -> DataFrame:
     """``key, text``: the candidates in ``k`` order, joined by a blank."""
+    df = checked(df, key)
     got = F.sort_array(F.collect_list(F.struct(k, F.coalesce(text, F.lit("")).alias("t"))))
     return df.groupBy(key).agg(F.array_join(F.transform(got, lambda x: x["t"]), " ").alias("text"))
 
@@ -20,8 +34,9 @@ def self_consistent(df: DataFrame, key: str, k: str, text: str, n: int = 1) -> D
     """``key, text``: the ``n`` candidates most like the others, in that order (ties: lower ``k``).
 
     The mean similarity to all others is quadratic in the candidates of a sample by its definition;
-    a generator draws a few dozen, so each is compared with the others inside one array. With ``n`` or fewer candidates all are joined in
+    their number is checked, and each is compared with the others inside one array. With ``n`` or fewer candidates all are joined in
     ``k`` order; no candidate gives an empty text."""
+    df = checked(df, key)
     got = F.sort_array(F.collect_list(F.struct(k, F.coalesce(text, F.lit("")).alias("t"), tokens(F.col(text)).alias("w"))))
     sample = df.groupBy(key).agg(got.alias("c"))
     words = sample.withColumn("c", F.transform("c", lambda x, i: F.struct(i.alias("i"), x["t"].alias("t"), F.array_distinct(x["w"]).alias("w"))))
@@ -62,7 +77,9 @@ def contrastive_loss(sims: DataFrame, row: str, col: str, sim: str) -> DataFrame
     """``loss``: symmetric cross entropy of matching rows and columns."""
     out = []
     for side in (row, col):
-        lse = sims.groupBy(side).agg((F.max(sim) + F.log(F.sum(F.exp(F.col(sim) - F.lit(0.0))) / F.exp(F.max(sim)))).alias("lse"))
+        # the largest of a row is taken off before ``exp``, which overflows above 709
+        top = F.max(sim).over(Window.partitionBy(side))
+        lse = sims.withColumn("__top", top).groupBy(side).agg((F.max("__top") + F.log(F.sum(F.exp(F.col(sim) - F.col("__top"))))).alias("lse"))
         out.append(lse.agg(F.sum("lse").alias("s"), F.count(F.lit(1)).alias("n")))
     diagonal = sims.filter(F.col(row) == F.col(col)).agg(F.sum(sim).alias("d"))
     a, b = out[0].select(F.col("s").alias("s1"), "n"), out[1].select(F.col("s").alias("s2"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.arrays import f1, precision, ratio, recall
+from quarry.functions.text import in_parts
 
 
 def confusion(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -74,8 +75,10 @@ def consistency(pairs: DataFrame) -> DataFrame:
 
 
 def text_report(scores: DataFrame, name: str) -> DataFrame:
-    """``line``: a fixed-width text line of each row's scores."""
-    return scores.select(F.format_string("%-34s %9.2f %9.2f %9.2f %9d", name, "precision", "recall", "f1", "support").alias("line"))
+    """``line``: a fixed-width text line of each row's scores, rounded by their exact values."""
+    cells = [in_parts(F.col(c), 100) for c in ("precision", "recall", "f1")]
+    shown = [F.format_string("%d.%02d", F.floor(c / 100).cast("long"), (c % 100).cast("long")) for c in cells]
+    return scores.select(F.format_string("%-34s %9s %9s %9s %9d", name, *shown, "support").alias("line"))
 
 
 def wide_labels(df: DataFrame, names: Sequence[str], columns: dict[str, str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry import lexicon
+from quarry.functions.arrays import by_hash
 from quarry.functions.text import canonical_id, region_sentence
 
 
@@ -39,11 +40,11 @@ def with_every_region(latest_rows: DataFrame, regions: Sequence[str] = lexicon.R
 
 
 def combined(latest_rows: DataFrame, regions: Sequence[str] = lexicon.REGIONS) -> DataFrame:
-    """``volume, report``: the regions with text, numbered in the order of the list."""
+    """``volume, report``: the regions with text, numbered in the order of the list, a blank after each."""
     rank = F.array_position(F.array(*(F.lit(r) for r in regions)), F.col("region"))
     rows = latest_rows.filter(F.col("region").isin(*regions) & (F.trim(F.coalesce("text", F.lit(""))) != ""))
     got = rows.groupBy("volume").agg(F.sort_array(F.collect_list(F.struct(rank.alias("k"), "region", "text"))).alias("r"))
-    return got.select("volume", F.array_join(F.transform("r", lambda x, i: region_sentence(i, x["region"], x["text"])), " ").alias("report"))
+    return got.select("volume", F.array_join(F.transform("r", lambda x, i: F.concat(region_sentence(i, x["region"], x["text"]), F.lit(" "))), "").alias("report"))
 
 
 def present_only(regions: Column, masks: Column) -> Column:
@@ -51,6 +52,11 @@ def present_only(regions: Column, masks: Column) -> Column:
     return F.map_filter(regions, lambda k, v: F.map_contains_key(masks, k))
 
 
+def shuffled(names: Column, key: Column, seed: int) -> Column:
+    """The names in an order fixed by seed and key, as training takes them."""
+    return by_hash(names, lambda x, i: F.concat_ws("-", F.lit(str(seed)), key.cast("string"), x))
+
+
 def numbered(names: Column) -> Column:
     """A map from position to region name."""
     return F.map_from_entries(F.transform(names, lambda x, i: F.struct(i, x)))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry import lexicon
+from quarry.plans.durable import cut
 
 
 def collated(df: DataFrame, batch: str, sample: str, tensors: str, size: int, regions: Sequence[str] = lexicon.REGIONS) -> DataFrame:
@@ -25,8 +26,15 @@ def collated(df: DataFrame, batch: str, sample: str, tensors: str, size: int, re
 
 def running_count(df: DataFrame, group: str, order: str, flag: str) -> DataFrame:
     """Adds ``seen``: how many flagged rows of the group there are up to and including each row."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("seen", F.sum(F.col(flag).cast("int")).over(w))
+    ranged = cut(df.repartitionByRange(group, order).withColumn("__part", F.spark_partition_id()), "ranged")
+    n = F.sum(F.col(flag).cast("int"))
+    # a group of any size is counted in parts; each is moved by the counts of the parts before it
+    sums = ranged.groupBy(F.col(group).alias("__g"), F.col("__part").alias("__p")).agg(n.alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("__g").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("__g", "__p", before.alias("__before"))
+    own = n.over(Window.partitionBy("__part", group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = ranged.withColumn("__own", own).join(sums, (F.col("__p") == F.col("__part")) & F.col("__g").eqNullSafe(F.col(group)))
+    return counted.withColumn("seen", F.col("__own") + F.col("__before")).drop("__part", "__own", "__before", "__g", "__p")
 
 
 def running_counts(mask: Column) -> Column:
@@ -36,9 +44,15 @@ def running_counts(mask: Column) -> Column:
     return F.aggregate(mask, start, step, lambda a: a["out"])
 
 
+def seeded(*parts: Column) -> Column:
+    """A number from 0 to 1 that depends on some values: leading hexadecimal digits of an MD5 hash."""
+    h = F.md5(F.concat_ws("-", *(p.cast("string") for p in parts)).cast("binary"))
+    return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
 def augmented(values: Column, key: Column, seed: int, scale: float = 0.1, shift: float = 0.05, noise: float = 0.01) -> Column:
     """Intensity scale and shift, noise and a flip, all fixed by seed and key."""
-    u = lambda name, *more: F.pmod(F.xxhash64(F.lit(f"{seed}-{name}"), key, *more), F.lit(1_000_003)) / 1_000_003.0
+    u = lambda name, *more: seeded(F.lit(f"{seed}-{name}"), key, *more)
     moved = F.transform(values, lambda x, i: x * (1 + scale * (2 * u("scale") - 1)) + shift * (2 * u("shift") - 1) + noise * (2 * u("noise", i) - 1))
     return F.when(u("flip") < 0.5, F.reverse(moved)).otherwise(moved)
 

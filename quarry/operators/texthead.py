@@ -33,9 +33,14 @@ def candidates(df: DataFrame, synonyms: Mapping[str, Sequence[str]] = lexicon.SY
 def agreement(cands: DataFrame, n: int = 5, at: float = 0.4) -> DataFrame:
     """``volume, p_idx, s_idx, agreement``: how many other texts of the volume have a sentence with a
     word ``n``-gram similarity of ``at`` or more. Such a pair shares at least one n-gram, so the
-    equi-join finds every one; sentences without a partner are not listed."""
+    equi-join finds every one; sentences without a partner are not listed. N-grams are compared by
+    64-bit hashes within a volume, and those of one text only are dropped before the join."""
     grams = cands.select("volume", "p_idx", "s_idx", F.array_distinct(T.ngrams(F.col("words"), n)).alias("g")).filter(F.size("g") > 0)
-    flat = grams.select("volume", "p_idx", "s_idx", F.size("g").alias("m"), F.explode("g").alias("gram"))
+    flat = grams.select("volume", "p_idx", "s_idx", F.size("g").alias("m"), F.explode(F.transform("g", lambda g: F.xxhash64(g))).alias("gram"))
+    # one shuffle serves the count of texts and both sides of the join
+    flat = cut(flat.repartition("volume", "gram"), "grams").repartition("volume", "gram")
+    shared = flat.groupBy("volume", "gram").agg(F.min("p_idx").alias("lo"), F.max("p_idx").alias("hi")).filter("lo <> hi").select("volume", "gram")
+    flat = flat.join(shared, ["volume", "gram"], "left_semi")
     other = flat.select("volume", "gram", F.col("p_idx").alias("p2"), F.col("s_idx").alias("s2"), F.col("m").alias("m2"))
     both = flat.join(other, ["volume", "gram"]).filter(F.col("p_idx") != F.col("p2"))
     common = both.groupBy("volume", "p_idx", "s_idx", "p2", "s2", "m", "m2").agg(F.count(F.lit(1)).alias("c"))

@@ -550,7 +550,7 @@ def region_reported(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("combined_report", f"""WITH {_LATEST}, {_REGION_DIM}, r AS (SELECT volume, region, text, k, row_number() OVER (PARTITION BY volume ORDER BY k) - 1 AS i FROM latest JOIN rd USING (region) WHERE trim(coalesce(text, '')) <> '')
-SELECT volume, string_agg('The region ' || i || ' is ' || region || ': ' || text, ' ' ORDER BY k) AS report FROM r GROUP BY volume""")
+SELECT volume, string_agg('The region ' || i || ' is ' || region || ': ' || text || ' ', '' ORDER BY k) AS report FROM r GROUP BY volume""")
 def combined_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The regions of each volume, numbered and joined to one report."""
     return regions.combined(region_rows(spark, sf_dir))
@@ -644,12 +644,6 @@ def proposer_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return common.join(labels.select("volume"), "volume", "left_semi").select("volume", "p_idx", "text"), labels.join(common.select("volume").distinct(), "volume", "left_semi")
 
 
-@query("text_head")
-def text_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The extractive report of each volume that three sources share."""
-    return texthead.build(*proposer_texts(spark, sf_dir))
-
-
 def all_source_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = predictions(spark, sf_dir).filter("volume_name is not null and Pred_combined_report is not null")
     rows = rows.select(text.canonical_id(F.col("volume_name")).alias("volume"), F.col("source").alias("p_idx"), "sample_id", F.col("Pred_combined_report").alias("text"))
@@ -688,6 +682,52 @@ def sentence_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _text_head_sql() -> str:
+    """The greedy choice goes on row by row in a recursion, every volume by itself."""
+    who = ", ".join(f"('{p}', {i})" for i, p in enumerate(PROPOSERS))
+    names = ", ".join(f"({i}, '{n}', '{lexicon.REGION[n]}', {lexicon.REGIONS.index(lexicon.REGION[n])})" for i, n in enumerate(lexicon.LABELS))
+    stock = ", ".join(f"({lexicon.REGIONS.index(r)}, '{r}', '{' '.join(lexicon.STOCK.get(r, []))}')" for r in lexicon.REGIONS)
+    cfg = DEFAULT
+    words = f"list_filter(string_split({_squeeze('sent')}, ' '), lambda x: x <> '')"
+    cut_line = f"CASE WHEN len({words}) > {cfg.longest_sentence} THEN array_to_string(({words})[1:{cfg.longest_sentence}], ' ') || '.' ELSE sent END"
+    prefix = f"left(trim(regexp_replace(lower(sent), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}\\x{{200c}}\\x{{200d}}]+', ' ', 'g')), {cfg.prefix})"
+    return f"""WITH RECURSIVE who(source, p_idx) AS (VALUES {who}), nm(c, name, region, k) AS (VALUES {names}), st(k, region, stock) AS (VALUES {stock}),
+f AS (SELECT volume, p_idx, t FROM (SELECT {_canon('volume_name')} AS volume, p_idx, coalesce(Pred_combined_report, '') AS t, row_number() OVER (PARTITION BY {_canon('volume_name')}, p_idx ORDER BY sample_id) AS r FROM predictions JOIN who USING (source) WHERE volume_name IS NOT NULL) WHERE r = 1),
+ll AS (SELECT volumes, unnest(range(0, len(labels))) AS c, unnest(labels) AS l FROM label_cache WHERE side = 'Pred' AND source IN ({", ".join(f"'{p}'" for p in PROPOSERS)})),
+lab AS (SELECT {_canon('volumes')} AS volume, c, (sum(l) > 0)::INT AS l FROM ll GROUP BY volumes, c HAVING count(*) = {len(PROPOSERS)}),
+v AS (SELECT volume FROM f WHERE volume IN (SELECT volume FROM lab) GROUP BY volume HAVING count(*) = {len(PROPOSERS)}),
+s AS (SELECT volume, p_idx, unnest(range(0, len(x))) AS s_idx, unnest(x) AS sent FROM (SELECT *, {_sentences('t', True)} AS x FROM f WHERE volume IN (SELECT volume FROM v))),
+w AS (SELECT *, lower(sent) AS l, {_tokens('sent')} AS w FROM s),
+h AS (SELECT *, regexp_matches(l, '{_NEG}') AS neg, {_HITS} AS hits FROM w),
+g AS (SELECT volume, p_idx, s_idx, list_distinct(list_transform(range(1, len(w) - {cfg.agree_ngram - 2}), lambda i: array_to_string(w[i:i + {cfg.agree_ngram - 1}], ' '))) AS g FROM w WHERE len(w) >= {cfg.agree_ngram}),
+x AS (SELECT volume, p_idx, s_idx, len(g) AS m, unnest(g) AS gram FROM g),
+j AS (SELECT a.volume, a.p_idx, a.s_idx, b.p_idx AS p2, count(*) / (any_value(a.m) + any_value(b.m) - count(*))::DOUBLE AS j FROM x a JOIN x b ON a.volume = b.volume AND a.gram = b.gram AND a.p_idx <> b.p_idx GROUP BY a.volume, a.p_idx, a.s_idx, b.p_idx, b.s_idx),
+ag AS (SELECT volume, p_idx, s_idx, count(DISTINCT p2) AS n FROM j WHERE j >= {cfg.agree_at} GROUP BY ALL),
+hit AS (SELECT volume, p_idx, s_idx, neg, unnest(hits) AS name FROM h),
+fit AS (SELECT volume, p_idx, s_idx, c, l, neg FROM hit JOIN nm USING (name) JOIN lab USING (volume, c)),
+poll AS (SELECT volume, p_idx, s_idx, count(*) FILTER (l = 0 AND NOT neg) AS n FROM fit GROUP BY ALL),
+sc AS (SELECT h.volume, h.p_idx, h.s_idx, {prefix} AS prefix, regexp_replace({cut_line}, '[. ]+$', '') || '.' AS line,
+    CASE WHEN regexp_matches(h.l, '{_MEASURE}') THEN {cfg.weight_measure}::DOUBLE ELSE 0.0::DOUBLE END + {cfg.weight_place}::DOUBLE * least(len(regexp_extract_all(h.l, '{lexicon.LOCATION}')), {cfg.most_places})
+    + {cfg.weight_word}::DOUBLE * least(len(w), {cfg.most_words}) + {cfg.weight_agree}::DOUBLE * coalesce(ag.n, 0) - {cfg.weight_pollution}::DOUBLE * coalesce(poll.n, 0) AS score
+    FROM h LEFT JOIN ag USING (volume, p_idx, s_idx) LEFT JOIN poll USING (volume, p_idx, s_idx)),
+it AS (SELECT volume, c, prefix, line, row_number() OVER (PARTITION BY volume ORDER BY c, -score, p_idx, s_idx) AS rn FROM fit JOIN sc USING (volume, p_idx, s_idx) WHERE (l = 1) = (NOT neg)),
+rec AS (SELECT volume, rn, c, 1 AS n, [prefix] AS seen, true AS take FROM it WHERE rn = 1
+    UNION ALL SELECT volume, rn, c, before + took::INT, CASE WHEN took THEN list_append(seen, prefix) ELSE seen END, took FROM (
+        SELECT it.volume, it.rn, it.c, it.prefix, rec.seen, CASE WHEN rec.c = it.c THEN rec.n ELSE 0 END AS before,
+            (CASE WHEN rec.c = it.c THEN rec.n ELSE 0 END) < {cfg.top_k} AND NOT list_contains(rec.seen, it.prefix) AS took FROM rec JOIN it ON it.volume = rec.volume AND it.rn = rec.rn + 1)),
+pk AS (SELECT volume, c, string_agg(line, ' ' ORDER BY rn) AS t FROM it JOIN rec USING (volume, rn, c) WHERE take GROUP BY volume, c),
+cond AS (SELECT volume, k, c, coalesce(t, name || CASE WHEN l = 1 THEN ' was detected.' ELSE ' was not detected.' END) AS t FROM lab JOIN v USING (volume) JOIN nm USING (c) LEFT JOIN pk USING (volume, c)),
+body AS (SELECT v.volume, st.k, st.region, trim(coalesce((SELECT string_agg(t, ' ' ORDER BY c) FROM cond WHERE cond.volume = v.volume AND cond.k = st.k), '') || ' ' || st.stock) AS b FROM v, st),
+num AS (SELECT *, row_number() OVER (PARTITION BY volume ORDER BY k) - 1 AS i FROM body WHERE b <> '')
+SELECT volume, string_agg('The region ' || i || ' is ' || region || ': ' || b, ' ' ORDER BY k) AS report FROM num GROUP BY volume"""
+
+
+@query("text_head", _text_head_sql())
+def text_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The extractive report of each volume that three sources share."""
+    return texthead.build(*proposer_texts(spark, sf_dir))
+
+
 @query("dedup_prefix", f"WITH {_ALL_TEXTS} SELECT prefix, count(*) AS n FROM (SELECT left(trim(regexp_replace(lower(sent), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}\\x{{200c}}\\x{{200d}}]+', ' ', 'g')), 40) AS prefix FROM s) GROUP BY prefix")
 def dedup_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences by the prefix under which they count as the same."""
@@ -702,7 +742,9 @@ def finished_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("volume", "p_idx", "s_idx", text.finished(text.shortened(F.col("sent"), 12)).alias("line"))
 
 
-@query("lexicon_labels")
+@query("lexicon_labels", f"""WITH s AS (SELECT sample_id, unnest({_sentences("coalesce(Pred_combined_report, '')", True)}) AS sent FROM predictions),
+h AS (SELECT sample_id, flatten(list(CASE WHEN regexp_matches(l, '{_NEG}') THEN [] ELSE {_HITS} END)) AS h FROM (SELECT sample_id, lower(sent) AS l FROM s) GROUP BY sample_id)
+SELECT p.sample_id, list_transform([{", ".join(f"'{n}'" for n in lexicon.LABELS)}], lambda n: coalesce(list_contains(h, n), false)::INT) AS labels FROM predictions p LEFT JOIN h USING (sample_id)""")
 def lexicon_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of every predicted report by the default labeller."""
     return labels.lexicon_labels(predictions(spark, sf_dir), "sample_id", "Pred_combined_report")
@@ -742,7 +784,15 @@ def nlg_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- bootstrap
 
-RESAMPLES = 200
+_STATS = ("hl", "rl", *(f"{x}{i}" for x in "ct" for i in range(1, 5)))
+
+
+def _bleu_of(p: str) -> str:
+    logs = " + ".join(f"ln(CASE WHEN {p}_c{i} > 0 THEN {p}_c{i} ELSE 0.1 END / {p}_t{i}) / 4" for i in range(1, 5))
+    return f"CASE WHEN {p}_c1 = 0 THEN 0.0 ELSE CASE WHEN {p}_hl > {p}_rl THEN 1.0 WHEN {p}_hl = 0 THEN 0.0 ELSE exp(1 - {p}_rl / {p}_hl) END * exp({logs}) END"
+
+
+RESAMPLES = DEFAULT.resamples
 _JACC_ROWS = f"""f AS (SELECT * FROM (SELECT source, {_canon('volume_name')} AS id, sample_id, GT_combined_report AS g, Pred_combined_report AS p, row_number() OVER (PARTITION BY source, {_canon('volume_name')} ORDER BY sample_id) AS r FROM predictions WHERE volume_name IS NOT NULL AND GT_combined_report IS NOT NULL AND Pred_combined_report IS NOT NULL) WHERE r = 1),
 sc AS (SELECT source, id, sample_id, {_jaccard(_tokens('g'), _tokens('p'))} * 100 AS s FROM f),
 pr AS (SELECT b.id, b.s AS base, o.s AS ours, row_number() OVER (ORDER BY b.sample_id) - 1 AS row FROM sc b JOIN sc o ON b.id = o.id AND b.source = 'gen_birch' AND o.source = 'gen_alder')"""
@@ -788,7 +838,14 @@ def bootstrap_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.select(tables.markdown_row([F.lit("words"), *cells]).alias("line"))
 
 
-@query("bootstrap_bleu")
+@query("bootstrap_bleu", f"""WITH {_BLEU}, fb AS (SELECT * FROM (SELECT t.source, {_canon('volume_name')} AS id, sample_id, r, h, row_number() OVER (PARTITION BY t.source, {_canon('volume_name')} ORDER BY sample_id) AS k FROM t JOIN predictions USING (sample_id) WHERE volume_name IS NOT NULL) WHERE k = 1),
+st AS (SELECT source, id, sample_id, len(h) AS hl, len(r) AS rl, {", ".join(f"coalesce((SELECT clip FROM c WHERE c.sample_id = fb.sample_id AND o = {i}), 0) AS c{i}, greatest(1, len(h) - {i - 1}) AS t{i}" for i in range(1, 5))} FROM fb WHERE source IN ('gen_birch', 'gen_alder')),
+pr AS (SELECT row_number() OVER (ORDER BY b.sample_id) - 1 AS row, {", ".join(f"b.{x} AS b_{x}, a.{x} AS a_{x}" for x in _STATS)} FROM st b JOIN st a ON a.id = b.id AND b.source = 'gen_birch' AND a.source = 'gen_alder'),
+nn AS (SELECT count(*) AS n FROM pr),
+d AS (SELECT b, ('0x' || substr(md5(concat_ws('-', 0, b, slot)), 1, 8))::BIGINT % n AS row FROM nn, (SELECT unnest(range(0, {RESAMPLES})) AS b), (SELECT unnest(range(0, n)) AS slot FROM nn)),
+g AS (SELECT b, {", ".join(f"sum({p}_{x})::DOUBLE AS {p}_{x}" for p in "ab" for x in _STATS)} FROM d JOIN pr USING (row) GROUP BY b),
+e AS (SELECT b, (({_bleu_of("a")}) - ({_bleu_of("b")})) * 100 AS delta FROM g)
+SELECT round(avg(delta), 6) AS mean_delta, round(quantile_cont(delta, 0.025), 6) AS ci_lower, round(quantile_cont(delta, 0.975), 6) AS ci_upper, avg((delta > 0)::INT) AS p_greater, count(*) AS n_ok FROM e""")
 def bootstrap_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Difference of corpus BLEU-4 of two sources with its 95 % interval."""
     s = nlg_stats(spark, sf_dir).filter("id is not null")
@@ -797,7 +854,21 @@ def bootstrap_bleu(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = by("gen_birch", "base_").join(by("gen_alder", "ours_").drop("sample_id"), "id")
     rows = cut(numbered(j, "sample_id"), "stats")
     w = bootstrap.weights(spark, RESAMPLES, rows.count())
-    return bootstrap.interval(bootstrap.bleu_deltas(rows, w))
+    i = bootstrap.interval(bootstrap.bleu_deltas(rows, w))
+    return i.select(*(F.round(c, 6).alias(c) for c in ("mean_delta", "ci_lower", "ci_upper")), "p_greater", "n_ok")
+
+
+_U = "('0x' || substr(md5(concat_ws('-', 0, b, id)), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+_POISSON = "CASE " + " ".join(f"WHEN u < {p!r}::DOUBLE THEN {k}" for k, p in enumerate(bootstrap.POISSON)) + f" ELSE {len(bootstrap.POISSON)} END"
+
+
+@query("bootstrap_poisson", f"""WITH {_JACC_ROWS}, u AS (SELECT b, ours - base AS d, {_U} AS u FROM pr, (SELECT unnest(range(0, {RESAMPLES})) AS b)),
+x AS (SELECT b, sum(d * w) / nullif(sum(w), 0) AS delta FROM (SELECT b, d, {_POISSON} AS w FROM u) GROUP BY b HAVING sum(w) > 0)
+SELECT round(avg(delta), 6) AS mean_delta, round(quantile_cont(delta, 0.025), 6) AS ci_lower, round(quantile_cont(delta, 0.975), 6) AS ci_upper, avg((delta > 0)::INT) AS p_greater, count(*) AS n_ok FROM x""")
+def bootstrap_poisson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interval by Poisson weights, without a shuffle of the draws."""
+    i = bootstrap.interval(bootstrap.poisson_deltas(score_pairs(spark, sf_dir), RESAMPLES, "id", "base", "ours"))
+    return i.select(*(F.round(c, 6).alias(c) for c in ("mean_delta", "ci_lower", "ci_upper")), "p_greater", "n_ok")
 
 
 # ---------------------------------------------------------------- streaming and sampling
@@ -839,12 +910,12 @@ def region_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``batch, volume, t``: word and character counts of the regions of each volume, in batches by shard member."""
     m = regions.maps(region_rows(spark, sf_dir).filter("region <> 'whole' and text is not null"))
     t = F.transform_values("regions", lambda k, v: F.array(F.size(text.tokens(v)).cast("double"), F.length(v).cast("double")))
-    batch = F.floor(F.regexp_extract("volume", "_([0-9]+)", 1).cast("long") / 16)
+    batch = F.floor(F.nullif(F.regexp_extract("volume", "_([0-9]+)", 1), F.lit("")).cast("long") / 16)
     return m.select(batch.alias("batch"), "volume", t.alias("t"))
 
 
 @query("collated_batches", f"""WITH {_LATEST}, {_REGION_DIM},
-x AS (SELECT regexp_extract(volume, '_([0-9]+)', 1)::BIGINT // 16 AS batch, volume, region, [len({_tokens('text')})::DOUBLE, length(text)::DOUBLE] AS v FROM latest WHERE region <> 'whole' AND text IS NOT NULL),
+x AS (SELECT nullif(regexp_extract(volume, '_([0-9]+)', 1), '')::BIGINT // 16 AS batch, volume, region, [len({_tokens('text')})::DOUBLE, length(text)::DOUBLE] AS v FROM latest WHERE region <> 'whole' AND text IS NOT NULL),
 p AS (SELECT DISTINCT batch, region FROM x JOIN rd USING (region)), v AS (SELECT DISTINCT batch, volume FROM x)
 SELECT v.batch, v.volume, p.region, coalesce(x.v, [0.0, 0.0]::DOUBLE[]) AS "values" FROM v JOIN p USING (batch) LEFT JOIN x ON x.volume = v.volume AND x.region = p.region""")
 def collated_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -930,17 +1001,80 @@ def folder_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "shard_index").select(split.alias("split")).distinct().withColumn("folder_key", text.folder_key(F.concat(F.lit("ct/"), "split")))
 
 
-@query("augmented_arrays")
+def _seeded(*parts: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws('-', {', '.join(parts)})), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+_MOVED = f"list_transform(range(1, len(embedding) + 1), lambda i: round(embedding[i]::DOUBLE * (1 + 0.1::DOUBLE * (2 * {_seeded(repr('7-scale'), 'vec_id')} - 1)) + 0.05::DOUBLE * (2 * {_seeded(repr('7-shift'), 'vec_id')} - 1) + 0.01::DOUBLE * (2 * {_seeded(repr('7-noise'), 'vec_id', 'i - 1')} - 1), 6) + 0.0::DOUBLE)"
+
+
+@query("augmented_arrays", f"SELECT vec_id, CASE WHEN {_seeded(repr('7-flip'), 'vec_id')} < 0.5 THEN list_reverse(m) ELSE m END AS v FROM (SELECT vec_id, {_MOVED} AS m FROM embeddings)")
 def augmented_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrays with seeded changes of scale, shift, noise and direction."""
-    return table(spark, sf_dir, "embeddings").select("vec_id", tensors.augmented(F.transform("embedding", lambda x: x.cast("double")), F.col("vec_id"), 7).alias("v"))
+    v = tensors.augmented(F.transform("embedding", lambda x: x.cast("double")), F.col("vec_id"), 7)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(v, lambda x: F.round(x, 6) + 0.0).alias("v"))
+
+
+@query("shuffled_regions", f"WITH {_LATEST} SELECT volume, list(region ORDER BY md5('3-' || volume || '-' || region)) AS area FROM latest WHERE region IN ({', '.join(f"'{r}'" for r in lexicon.REGIONS)}) GROUP BY volume")
+def shuffled_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regions of each volume in the order in which training takes them."""
+    m = regions.maps(region_rows(spark, sf_dir).filter(F.col("region").isin(*lexicon.REGIONS)))
+    return m.select("volume", regions.shuffled(F.map_keys("regions"), F.col("volume"), 3).alias("area"))
+
+
+@query("shuffled_sentences", f"SELECT sample_id, array_to_string(list_transform(list_sort(list_transform(range(0, len(x)), lambda i: md5('4-' || sample_id || '-' || i) || x[i + 1])), lambda y: y[33:]), ' ') AS t FROM (SELECT sample_id, {_sentences("coalesce(GT_combined_report, '')", True)} AS x FROM predictions)")
+def shuffled_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference reports with their sentences in random order."""
+    return predictions(spark, sf_dir).select("sample_id", text.shuffled_sentences(F.col("GT_combined_report"), F.col("sample_id"), 4).alias("t"))
+
+
+@query("ended_rows", f"SELECT sample_id, list_transform(range(0, 24), lambda i: CASE WHEN i < len(w) THEN w[i + 1] WHEN i = len(w) THEN 2 ELSE 0 END) AS ids FROM (SELECT sample_id, list_transform({_tokens('Question')}, lambda x: length(x)) AS w FROM predictions WHERE Question IS NOT NULL)")
+def ended_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows cut and padded to 24 tokens, with an end after the last one where there is room."""
+    w = F.slice(F.transform(text.tokens(F.col("Question")), lambda x: F.length(x)), 1, 24)
+    rows = predictions(spark, sf_dir).filter("Question is not null").select("sample_id", w.alias("w"))
+    return rows.select("sample_id", arrays.ended(arrays.padded(F.col("w"), F.lit(24)), F.size("w"), 2).alias("ids"))
+
+
+@query("cached_labels", "SELECT volumes, labels, source, side FROM label_cache")
+def cached_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label cache written in one folder for each source and side, and read back."""
+    path = f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}"
+    labels.write_cache(table(spark, sf_dir, "label_cache"), path)
+    return spark.read.parquet(path).select("volumes", "labels", "source", "side")
+
+
+@query("report_lines", f"""WITH {_SINGLE}, {_NAMES}, l AS (SELECT *, {_F1} AS f1 FROM (SELECT *, {_PRF} FROM (SELECT idx, {_COUNTS} FROM pairs GROUP BY idx)))
+SELECT printf('%-34s %9.2f %9.2f %9.2f %9d', name, precision, recall, f1, tp + fn) AS line FROM l JOIN nm USING (idx)""")
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision, recall, F1 and support of each condition as lines of a text report."""
+    names = F.array(*(F.lit(n) for n in lexicon.LABELS))
+    s = classification.scored(classification.confusion(source_pairs(spark, sf_dir), ["idx"]))
+    return classification.text_report(s.withColumn("name", F.element_at(names, (F.col("idx") + 1).cast("int"))), "name")
+
+
+@query("shard_audit", "SELECT shard, count(*) AS members, 0::BIGINT AS skipped, NULL::VARCHAR AS error FROM shard_index GROUP BY shard")
+def shard_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members, skipped entries and damage of every shard."""
+    folder = f"{shared_dir(spark)}/audit-{uuid.uuid4().hex}"
+    written = cut(shards.write_shards(table(spark, sf_dir, "shard_index").select("sample_idx", "shard", "image_path"), folder, "sample_idx", "shard"), "written")
+    return shards.read_shards(spark, folder, audit="true").join(written.select("shard"), "shard")
+
+
+@query("streamed_shards", "SELECT shard, sample_idx AS idx FROM shard_index")
+def streamed_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of the shards as a stream takes them in."""
+    at = f"{shared_dir(spark)}/streamed-{uuid.uuid4().hex}"
+    shards.write_shards(table(spark, sf_dir, "shard_index").select("sample_idx", "shard", "image_path"), f"{at}/tar", "sample_idx", "shard").collect()  # one row a shard
+    rows = shards.stream_shards(spark, f"{at}/tar").select("shard", "idx")
+    rows.writeStream.format("parquet").option("path", f"{at}/table").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/table")
 
 
 @query("shard_members", "SELECT shard, sample_idx AS idx, image_path FROM shard_index")
 def shard_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Region maps written as tar shards and read back through the data source."""
-    at = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
-    folder = at.removeprefix("file://")
+    folder = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
     index = table(spark, sf_dir, "shard_index").select("sample_idx", "shard", "image_path")
     write = shards.write_shards(index, folder, "sample_idx", "shard")
     written = cut(write, "written")

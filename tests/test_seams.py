@@ -1,6 +1,7 @@
 """Model seams, tensors, configuration, logging, workers."""
 
 import logging
+import os
 
 import numpy as np
 import pytest
@@ -77,3 +78,21 @@ def test_plans(spark):
     assert spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == 4
     many = spark.range(0, 10, 1, 9)
     assert spread(many) is many
+
+
+def test_tables_of_a_scope_are_removed(spark):
+    from quarry.plans import durable
+
+    with durable.scope():
+        c = cut(spark.range(5), "scoped")
+        at = c.inputFiles()[0].removeprefix("file://")
+        assert c.count() == 5 and os.path.exists(at)
+    assert not os.path.exists(at)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    spark = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(spark)

@@ -62,6 +62,44 @@ def test_shards(spark, tmp_path):
         shards.read_shards(spark, str(tmp_path), strict="true").count()
 
 
+def test_shard_audit_and_stream(spark, tmp_path):
+    df = spark.range(10).select("id", F.concat(F.lit("s"), (F.col("id") % 2).cast("string"), F.lit(".tar")).alias("shard"))
+    at = (tmp_path / "tar").as_uri()
+    shards.write_shards(df, at, "id", "shard").collect()
+    whole = (tmp_path / "tar" / "s0.tar").read_bytes()
+    (tmp_path / "tar" / "s2.tar").write_bytes(whole[:2300])  # ends inside the header of its third member
+    (tmp_path / "tar" / "s3.tar").write_bytes(whole[:2562])  # ends inside its third member
+    (tmp_path / "tar" / "s4.tar").write_bytes(whole[:2048])  # ends after its second member
+    got = {r.shard: r for r in shards.read_shards(spark, at, audit="true").collect()}
+    assert (got["s0.tar"].members, got["s0.tar"].skipped, got["s0.tar"].error) == (5, 0, None)
+    for cut in ("s2.tar", "s3.tar", "s4.tar"):
+        assert got[cut].members == 2 and "ReadError" in got[cut].error
+    assert shards.read_shards(spark, at).filter("shard = 's2.tar'").count() == 2
+    for cut in ("s2.tar", "s3.tar", "s4.tar"):
+        (tmp_path / "tar" / cut).unlink()
+
+    def run():
+        rows = shards.stream_shards(spark, at).select("shard", "idx")
+        q = rows.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
+        q.trigger(availableNow=True).start().awaitTermination()
+        return spark.read.parquet(str(tmp_path / "out")).count()
+
+    assert run() == 10 and run() == 10
+    shards.write_shards(df.withColumn("shard", F.lit("s9.tar")), at, "id", "shard").collect()
+    assert run() == 20
+    with pytest.raises(Exception):
+        shards.read_shards(spark, str(tmp_path / "nowhere")).count()
+
+
+def test_ingest_keeps_the_least_row_of_a_key(spark, tmp_path):
+    src, sink, cp = (str(tmp_path / x) for x in ("src", "sink", "cp"))
+    spark.createDataFrame([(1, "b"), (1, "a"), (2, "c")], "id long, t string").coalesce(1).write.parquet(src)
+    resume.ingest(spark, src, "id long, t string", sink, cp, "id")
+    spark.createDataFrame([(1, "0"), (3, "d")], "id long, t string").write.mode("append").parquet(src)
+    resume.ingest(spark, src, "id long, t string", sink, cp, "id")
+    assert sorted((r.id, r.t) for r in spark.read.parquet(sink).collect()) == [(1, "a"), (2, "c"), (3, "d")]
+
+
 def test_json_text_markdown(spark, tmp_path):
     df = spark.createDataFrame([("a", None, 0.5)], "k string, x int, y double")
     assert sinks.summary_json(df).first().json == '{"k":"a","x":null,"y":0.5}'
