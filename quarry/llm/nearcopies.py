@@ -40,19 +40,27 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * _MIX2
 
 
-def runs(ws: list[str], k: int) -> np.ndarray:
-    """Hashes of the runs of ``k`` words in their order (of all words, if there are fewer)."""
-    h = np.fromiter(map(_word_hash, ws), np.uint64, len(ws))
-    k = min(k, len(ws))
-    out = np.zeros(len(ws) - k + 1, np.uint64)
+def hashes(ws: list[str]) -> np.ndarray:
+    return np.fromiter(map(_word_hash, ws), np.uint64, len(ws))
+
+
+def runs(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the runs of ``k`` words in their order (of all words, if there are fewer), from the
+    ``hashes`` of the words."""
+    k = min(k, len(h))
+    out = np.zeros(len(h) - k + 1, np.uint64)
     for i in range(k):
         out = _mixed(out + h[i : i + len(out)])
     return out
 
 
 def shingles(ws: list[str], k: int) -> np.ndarray:
-    """Distinct hashes of the runs of ``k`` words (of all words, if there are fewer)."""
-    return np.unique(runs(ws, k))
+    """Hashes of the runs of ``k`` words (of all words, if there are fewer) with their occurrence
+    number, so that a text of repeated sentences has as many as any other."""
+    h = np.sort(runs(hashes(ws), k))
+    first = np.concatenate([[True], h[1:] != h[:-1]])
+    number = np.arange(len(h)) - np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
+    return np.where(first, h, _mixed(h + number.astype(np.uint64) * _MIX))
 
 
 class Sketch:
@@ -72,14 +80,17 @@ class Sketch:
         return self._banded(self._least(shingles(ws, self.k)), np.uint64(0)).tolist()
 
     def openings(self, ws: list[str], least: int) -> np.ndarray:
+        return self.openings_of(hashes(ws), least)
+
+    def openings_of(self, h: np.ndarray, least: int) -> np.ndarray:
         """The keys of the first ``least``, ``2 * least``, ... words, as far as the text goes, one row for
         each opening. Keys of different lengths differ; every word is hashed once."""
         sizes = []
-        while least << len(sizes) <= len(ws):
+        while least << len(sizes) <= len(h):
             sizes.append(least << len(sizes))
         if not sizes:
             return np.zeros((0, self.bands), np.int64)
-        x = runs(ws, self.k)
+        x = runs(h, self.k)
         ends = [max(1, n - self.k + 1) for n in sizes]
         if ends[-1] <= self.CHUNK:
             seg = np.minimum.reduceat(self.a * x[None, : ends[-1]] + self.b, [0, *ends[:-1]], axis=1)
@@ -110,14 +121,14 @@ class Sketch:
         return key.view(np.int64)
 
 
-def successions(ws: list[str]) -> np.ndarray:
+def successions(ws: list[str], h: np.ndarray | None = None) -> np.ndarray:
     """A signed 32-bit hash of each word but the last and the first character after it: item ``k - 1``
-    tells of the words ``k - 1`` and ``k``."""
+    tells of the words ``k - 1`` and ``k``. ``h``: the words' ``hashes``, if known."""
     if len(ws) < 2:
         return np.zeros(0, np.int32)
-    h = np.fromiter(map(_word_hash, ws[:-1]), np.uint64, len(ws) - 1)
-    first = np.fromiter((ord(w[0]) for w in ws[1:]), np.uint64, len(ws) - 1)
-    return (_mixed(h + first * _MIX2) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    h = hashes(ws) if h is None else h
+    first = np.frombuffer("".join([w[0] for w in ws[1:]]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    return (_mixed(h[:-1] + first * _MIX2) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def fingerprint(ws: list[str]) -> int:
@@ -127,9 +138,10 @@ def fingerprint(ws: list[str]) -> int:
 
 
 def jaccard(a: list[str], b: list[str], k: int) -> float:
-    x, y = (set(zip(*(ws[i:] for i in range(k)))) for ws in (a, b))
-    both = len(x & y)
-    return both / ((len(x) + len(y) - both) or 1)
+    """Similarity of two texts' runs of ``k`` words, repeated ones counted."""
+    x, y = (Counter(zip(*(ws[i:] for i in range(k)))) for ws in (a, b))
+    both = (x & y).total()
+    return both / ((x.total() + y.total() - both) or 1)
 
 
 def edits(a: list[str], b: list[str], most: int) -> int | None:

@@ -2,23 +2,29 @@
 
 Every text gets a fingerprint of its word sequence and minwise hashes of its word shingles, in
 bands. Rows of one fingerprint form a class, so that copies are sketched, joined and compared once.
-Only bands shared by a training class and an evaluation class make candidates; candidates whose
-lengths rule out the distance are dropped in the join itself. The rest are verified by exact Jaccard
-similarity of their shingles and then by exact word edit distance.
+Only bands shared by a training class and an evaluation class make candidates. Bands are joined
+within ranges of length, so that a band with many classes falls into parts; classes whose lengths
+rule out the distance never meet. Candidates are verified by exact Jaccard similarity of their
+shingles and then by exact word edit distance.
 
 A pair that differs in at most 8 % of the longer text's words keeps a shingle similarity of about
 0.6 or more at three words a shingle in the worst case (every edit in shingles of its own); 32
-bands of 4 rows find 99 % of such worst cases and practically all others.
+bands of 4 rows find 99 % of such worst cases and practically all others. Shingles are numbered by
+occurrence, so this holds for texts of repeated sentences, too.
+
+The links are between classes; ``links`` counts them for each row and ``overlap_report`` for each
+split and source without expanding them. ``cross_split_pairs`` expands them to pairs of rows.
 
 Defined results
     * null, empty and short texts (under ``LEAST`` words) and rows of other splits are in no pair
     * every pair of rows comes out once, ``id_a < id_b``; repeated ids count once
     * extra columns are ignored
-    * classes with many rows are expanded in salted parts, so no task holds a whole class
+    * classes with many rows are expanded in salted parts of either side, so no task holds a whole class
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -37,6 +43,8 @@ SHINGLE, BANDS, ROWS = 3, 32, 4
 SIMILAR = 0.5
 #: rows of a class that one salted part holds
 PART = 2_000
+#: width of a range of lengths, as a multiple of the difference that the distance allows
+RANGE = 4
 
 
 def _sketched(df: DataFrame, train: str, held: tuple[str, ...]) -> DataFrame:
@@ -69,17 +77,20 @@ def _near(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="bool")
 
 
-def cross_split_pairs(df: DataFrame, train: str = "train", held: tuple[str, ...] = ("valid", "test")) -> DataFrame:
-    """``tbl, id_a, id_b`` for ``df`` with columns ``tbl, id, split, text`` (others are ignored)."""
+def _classes(df: DataFrame, train: str, held: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """``tbl, cls, side, id`` of every row, and the links ``tbl, cls_t, cls_e``, as tables."""
     df = df.select("tbl", F.col("id").cast("long").alias("id"), "split", "text")
     rows = cut(_sketched(df, train, held), "sketches")
     members = rows.select("tbl", "cls", "side", "id").distinct()
-    sizes = members.groupBy("tbl", "cls", "side").agg(F.count(F.lit(1)).alias("rows"))
     classes = rows.groupBy("tbl", "cls", "side").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     flat = classes.select("tbl", "side", "cls", "rep", "n", F.explode("bands").alias("key"))
-    t, e = (flat.filter(F.col("side") == s).select("tbl", "key", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "rep", "n"))) for s in "te")
+    # lengths on a scale on which the allowed difference is less than 1
+    place = F.log("n") / math.log(1 / (1 - SHARE) + 1e-6)
+    at = lambda x: F.floor(x / RANGE).cast("int")
+    sides = {"t": at(place), "e": F.explode(F.array_distinct(F.array(at(place - 1), at(place + 1))))}
+    t, e = (flat.filter(F.col("side") == s).select("tbl", "key", sides[s].alias("range"), *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "rep", "n"))) for s in "te")
     far = F.abs(F.col("n_t") - F.col("n_e")) > F.greatest("n_t", "n_e") * SHARE
-    pairs = t.join(e, ["tbl", "key"]).filter(~far).groupBy("tbl", "cls_t", "cls_e").agg(F.first("rep_t").alias("rep_t"), F.first("rep_e").alias("rep_e"))
+    pairs = t.join(e, ["tbl", "key", "range"]).filter(~far).groupBy("tbl", "cls_t", "cls_e").agg(F.first("rep_t").alias("rep_t"), F.first("rep_e").alias("rep_e"))
     pairs = cut(pairs, "candidates")
 
     same = pairs.filter("cls_t = cls_e").select("tbl", "cls_t", "cls_e")
@@ -90,30 +101,40 @@ def cross_split_pairs(df: DataFrame, train: str = "train", held: tuple[str, ...]
     for s in "te":
         both = both.join(texts.select("tbl", F.col("id").alias(f"rep_{s}"), F.col("text").alias(f"text_{s}")), ["tbl", f"rep_{s}"])
     near = both.filter(_near("text_t", "text_e")).select("tbl", "cls_t", "cls_e").unionByName(same)
+    return members, cut(near, "links")
+
 
-    # expansion to rows, in parts of at most about PART rows of a class
-    parts = sizes.filter("side = 'e'").select("tbl", F.col("cls").alias("cls_e"), F.ceil(F.col("rows") / PART).cast("int").alias("parts"))
-    train_rows = members.filter("side = 't'").select("tbl", F.col("cls").alias("cls_t"), F.col("id").alias("t"))
-    held_rows = (
-        members.filter("side = 'e'")
-        .select("tbl", F.col("cls").alias("cls_e"), F.col("id").alias("e"))
-        .join(parts, ["tbl", "cls_e"])
-        .withColumn("part", F.pmod(F.xxhash64("e"), F.col("parts")).cast("int"))
-        .drop("parts")
-    )
-    out = (
-        near.join(parts, ["tbl", "cls_e"])
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .join(train_rows, ["tbl", "cls_t"])
-        .join(held_rows, ["tbl", "cls_e", "part"])
-    )
+def cross_split_pairs(df: DataFrame, train: str = "train", held: tuple[str, ...] = ("valid", "test")) -> DataFrame:
+    """``tbl, id_a, id_b`` for ``df`` with columns ``tbl, id, split, text`` (others are ignored)."""
+    members, near = _classes(df, train, held)
+    # expansion to rows, in parts of at most about PART rows of a class on either side
+    sizes = members.groupBy("tbl", "cls", "side").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    out = near
+    for s in "te":
+        rows = members.filter(F.col("side") == s).select("tbl", F.col("cls").alias(f"cls_{s}"), F.col("id").alias(s))
+        parts = sizes.filter(F.col("side") == s).select("tbl", F.col("cls").alias(f"cls_{s}"), F.col("parts").alias(f"parts_{s}"))
+        salted = rows.join(parts, ["tbl", f"cls_{s}"]).withColumn(f"part_{s}", F.pmod(F.xxhash64(s), F.col(f"parts_{s}")).cast("int")).drop(f"parts_{s}")
+        out = out.join(parts, ["tbl", f"cls_{s}"]).withColumn(f"part_{s}", F.explode(F.sequence(F.lit(0), F.col(f"parts_{s}") - 1)))
+        out = out.drop(f"parts_{s}").join(salted, ["tbl", f"cls_{s}", f"part_{s}"])
     return out.select("tbl", F.least("t", "e").alias("id_a"), F.greatest("t", "e").alias("id_b"))
 
 
-def overlap_report(pairs: DataFrame, df: DataFrame, train: str = "train") -> DataFrame:
+def links(df: DataFrame, train: str = "train", held: tuple[str, ...] = ("valid", "test")) -> DataFrame:
+    """``tbl, id, side, class, n_links`` of every row that is compared: its class (rows with the same
+    words) and how many rows of the other side are the same or nearly so. Side ``t`` is training."""
+    members, near = _classes(df, train, held)
+    sizes = members.groupBy("tbl", "cls", "side").agg(F.count(F.lit(1)).alias("rows"))
+    out = None
+    for s, o in (("t", "e"), ("e", "t")):
+        other = sizes.filter(F.col("side") == o).select("tbl", F.col("cls").alias(f"cls_{o}"), "rows")
+        n = near.join(other, ["tbl", f"cls_{o}"]).groupBy("tbl", F.col(f"cls_{s}").alias("cls")).agg(F.sum("rows").alias("n_links"))
+        mine = members.filter(F.col("side") == s).join(n, ["tbl", "cls"], "left")
+        out = mine if out is None else out.unionByName(mine)
+    return out.select("tbl", "id", "side", F.col("cls").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def overlap_report(df: DataFrame, train: str = "train", held: tuple[str, ...] = ("valid", "test")) -> DataFrame:
     """``tbl, split, source, n_rows, n_pairs``: held-out rows found in the training split, and pairs."""
-    df = df.select("tbl", F.col("id").cast("long").alias("id"), "split", "source").dropDuplicates(["tbl", "id"])
-    ends = pairs.select("tbl", F.explode(F.array("id_a", "id_b")).alias("id"))
-    by_row = ends.groupBy("tbl", "id").agg(F.count(F.lit(1)).alias("n"))
-    held = df.filter(F.col("split") != train)
-    return held.join(by_row, ["tbl", "id"]).groupBy("tbl", "split", "source").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n").alias("n_pairs"))
+    n = links(df, train, held).filter("side = 'e' and n_links > 0").select("tbl", "id", "n_links")
+    rows = df.select("tbl", F.col("id").cast("long").alias("id"), "split", "source").filter(F.col("split").isin(*held)).dropDuplicates(["tbl", "id"])
+    return rows.join(n, ["tbl", "id"]).groupBy("tbl", "split", "source").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n_links").alias("n_pairs"))

@@ -47,8 +47,6 @@ def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
 
 
-
-
 def _p7_sql(select: str) -> str:
     def grams(key: str, src: str) -> str:
         bare = "regexp_replace(text, '[\\x{00ad}\\x{200b}-\\x{200f}\\x{202a}-\\x{202e}\\x{2060}-\\x{2064}\\x{feff}]', '', 'g')"
@@ -99,8 +97,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p3_report")
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = _split_texts(spark, sf_dir)
-    return overlaps.overlap_report(overlaps.cross_split_pairs(texts), texts)
+    return overlaps.overlap_report(_split_texts(spark, sf_dir))
+
+
+@query("p3_links")
+def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class and the number of links of every row that is compared."""
+    return overlaps.links(_split_texts(spark, sf_dir))
 
 
 REPORTS = ("Pred_combined_report", "GT_combined_report")

@@ -196,7 +196,8 @@ def most_edits(n: int) -> int:
 def _filed(ws: list[str], sketch: nc.Sketch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Band keys of the openings, one row for each; for each opening a bit for every succession of
     words with which a text that asks for it may end; and all successions as 16 bits."""
-    bands, codes = sketch.openings(ws, HEAD), nc.successions(ws)
+    h = nc.hashes(ws)
+    bands, codes = sketch.openings_of(h, HEAD), nc.successions(ws, h)
     bits = np.uint64(1) << (codes & 63).astype(np.uint64)
     marks = np.zeros(len(bands), np.uint64)
     for i in range(len(bands)):

@@ -69,8 +69,10 @@ def test_overlaps_against_brute_force(spark, monkeypatch):
     want = brute([r for r in rows if r[1] < 900]) | {("a", 902, 903)}
     assert len(want) > 100 and len(got) == len(set(got))
     assert set(got) <= want and len(got) >= 0.98 * len(want)
-    rep = overlaps.overlap_report(pairs, df)
+    rep = overlaps.overlap_report(df)
     assert rep.agg({"n_pairs": "sum"}).first()[0] == len(got)
+    n = {(r.tbl, r.id): r.n_links for r in overlaps.links(df).collect()}
+    assert n == {k: sum(k in ((t, a), (t, b)) for t, a, b in got) for k in n} and sum(n.values()) == 2 * len(got)
     assert overlaps.cross_split_pairs(df.limit(0)).count() == 0
 
 
@@ -187,3 +189,16 @@ def test_filters_keep_what_the_alignment_accepts(spark):
             if i != j and w != words[j] and len(words[j]) >= len(w) and (keys[i][level] == keys[j][level]).any() and tr.align(t, u, {}):
                 want.add((rep[i], rep[j]))
     assert len(want) > 40 and want <= got
+
+
+def test_repeated_sentences_across_splits(spark):
+    """A text of one repeated sentence has few distinct shingles, yet few edits leave it near."""
+    base = "the lung is quite clear".split() * 10
+    rows = [("a", 0, "train", " ".join(base))]
+    for i in range(1, 12):
+        w = base[:]
+        for k in range(4):
+            w[(i + 11 * k) % 50] = f"new{i}x{k}"
+        rows.append(("a", i, "test", " ".join(w)))
+    got = {tuple(r) for r in overlaps.cross_split_pairs(spark.createDataFrame(rows, "tbl string, id long, split string, text string")).collect()}
+    assert got == brute(rows) and len(got) == 11
