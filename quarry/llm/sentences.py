@@ -26,6 +26,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -158,29 +159,25 @@ class Uses:
     one, and capitalised inside sentences."""
 
     def __init__(self, text: str):
-        ws = text.split()
+        ws = self.words = text.split()
         self.dots: dict[str, tuple[int, int, int]] = {}
-        self.bare: set[str] = set()
-        self.inside: set[str] = set()
-        ended, low, high = True, 0, 0
-        for i, w in enumerate(ws):
-            last = w[-1]
-            if last == ".":
-                t = w[:-1].lstrip(_BEFORE)
-                n = ws[i + 1][0] if i + 1 < len(ws) else " "
-                a, b, c = self.dots.get(t, (0, 0, 0))
-                self.dots[t] = a + 1, b + n.islower(), c + n.isdigit()
-                low, high = low + n.islower(), high + n.isupper()
-            else:
-                t = w if w.isalnum() else w.strip(_AROUND)
-                self.bare.add(t)
-                if not ended and w[0].isupper():
-                    self.inside.add(t)
-            ended = last in _ENDING
+        low = high = 0
+        for i in [i for i, w in enumerate(ws) if w[-1] == "."]:
+            t = ws[i][:-1].lstrip(_BEFORE)
+            n = ws[i + 1][0] if i + 1 < len(ws) else " "
+            a, b, c = self.dots.get(t, (0, 0, 0))
+            self.dots[t] = a + 1, b + n.islower(), c + n.isdigit()
+            low, high = low + n.islower(), high + n.isupper()
+        self.bare = {w if w.isalnum() else w.strip(_AROUND) for w in set(ws) if w[-1] != "."}
         self.lengths = set(map(len, self.dots))
         #: do sentences of this text begin with capitals?
         self.cased = low <= 0.4 * (low + high)
 
+    @cached_property
+    def inside(self) -> set[str]:
+        pairs = zip(self.words, self.words[1:])
+        return {w.strip(_AROUND) for before, w in pairs if w[0].isupper() and w[-1] != "." and before[-1] not in _ENDING}
+
 
 _BEFORE = "([\"“„«¿¡>"
 _AROUND = "([\"“„«¿¡>,;:!?)]”»"

@@ -77,9 +77,10 @@ def describe(text: str) -> list[float]:
     threes = Counter((words[i - 1], words[i + 1]) for i in range(1, len(words) - 1) if words[i] in STOP)
     wide = {p for p, c in threes.items() if c >= 4 and p[0] not in STOP and p[1] not in STOP and not p[0][0].isdigit() and not p[1][0].isdigit()}
     covered = bytearray(len(words) + 1)
-    for i in range(len(words) - 1):
-        if (words[i], words[i + 1]) in keys:
-            covered[i] = covered[i + 1] = 1
+    if keys:
+        for i, p in enumerate(zip(words, words[1:])):
+            if p in keys:
+                covered[i] = covered[i + 1] = 1
     if wide:
         for i in range(1, len(words) - 1):
             if words[i] in STOP and (words[i - 1], words[i + 1]) in wide:
@@ -94,10 +95,10 @@ def describe(text: str) -> list[float]:
     offer = 0
     prose = short = 0
     for p in parts:
-        w = WORD.findall(p)
+        w = WORD.findall(p.lower())
         if near and OFFER.search(p):
             offer += len(p)
-        if len(w) >= 6 and any(x.lower() in STOP for x in w):
+        if len(w) >= 6 and not STOP.isdisjoint(w):
             prose += len(p)
         if len(w) <= 4:
             short += len(p)
@@ -106,7 +107,7 @@ def describe(text: str) -> list[float]:
         offer = max(offer, sum(b - a for a, b in zip(near, near[1:]) if b - a <= 90))
     return [
         link / n, len(link_spans) / (1 + n / 100), tag / n, nav / n, offer / n, sum(covered) / k, repeat / n, top / k, len(counts) / k,
-        digits / n, sum(w in STOP for w in words) / k, prose / n, short / n, float(np.log1p(n)),
+        digits / n, sum(map(STOP.__contains__, words)) / k, prose / n, short / n, float(np.log1p(n)),
     ]
 
 

@@ -146,9 +146,9 @@ def test_profile_reads_whole_answers(spark):
     q = "Describe the findings in the lung and answer in English."
     rows = [(q, "лёгкие чистые " * 40 + "plain words " * 200)] + [(q, "The region 0 is lung: " * 30 + "лёгкие чистые " * 60)]
     p = pairs.profile(spark.createDataFrame(rows, "question string, answer string"))
-    assert "plain" in p.words
+    assert "plain" in p.places
     p = pairs.profile(spark.createDataFrame(rows[1:], "question string, answer string"))
-    assert not p.words
+    assert not p.places
 
 
 def test_links_and_tags_of_any_length():
