@@ -88,19 +88,36 @@ def meteor(ref: list[str], hyp: list[str], alpha: float = 0.9, beta: float = 3.0
     return (1 - gamma * (chunks / len(pairs)) ** beta) * mean
 
 
-@F.pandas_udf(_TYPE)
-def _stats(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
-    rows = []
-    for r, h in zip(ref, hyp):
-        a, b = r.lower().split(), h.lower().split()
-        rows.append((*bleu_stats(a, b), rouge_l(r, h), meteor(a, b)))
-    return pd.DataFrame(rows, columns=[f.name for f in _TYPE])
+def _stats(synonyms: dict[str, str] | None):
+    @F.pandas_udf(_TYPE)
+    def stats(ref: pd.Series, hyp: pd.Series) -> pd.DataFrame:
+        rows = []
+        for r, h in zip(ref, hyp):
+            a, b = r.lower().split(), h.lower().split()
+            rows.append((*bleu_stats(a, b), rouge_l(r, h), meteor(a, b, synonyms=synonyms)))
+        return pd.DataFrame(rows, columns=[f.name for f in _TYPE])
 
+    return stats
 
-def row_stats(df: DataFrame, ref: str, hyp: str) -> DataFrame:
-    """The rows whose two texts are not blank, with their statistics."""
+
+#: most words of a table of synonyms, which every task holds
+SYNONYMS = 1_000_000
+
+
+def synonym_groups(table: DataFrame) -> dict[str, str]:
+    """A table ``word, concept`` as a mapping; the least concept of each word counts."""
+    groups = table.groupBy("word").agg(F.min("concept").alias("concept"))
+    if (n := groups.count()) > SYNONYMS:
+        raise ValueError(f"{n} words with synonyms, more than {SYNONYMS}")
+    return {r.word: r.concept for r in groups.collect()}
+
+
+def row_stats(df: DataFrame, ref: str, hyp: str, synonyms: DataFrame | None = None) -> DataFrame:
+    """The rows whose two texts are not blank, with their statistics. ``synonyms``: ``word, concept``;
+    words of one concept match in the last stage of METEOR."""
+    stats = _stats(synonym_groups(synonyms) if synonyms is not None else None)
     full = df.filter((squeeze(F.col(ref)) != "") & (squeeze(F.col(hyp)) != ""))
-    return spread(full).withColumn("__s", _stats(ref, hyp)).select(*df.columns, "__s.*")
+    return spread(full).withColumn("__s", stats(ref, hyp)).select(*df.columns, "__s.*")
 
 
 def bleu(n: int, prefix: str = "") -> Column:

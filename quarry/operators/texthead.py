@@ -109,6 +109,6 @@ def report(cands: DataFrame, fused: DataFrame, names: Sequence[str] = lexicon.LA
 
 def build(texts: DataFrame, fused: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """``volume, report`` from ``volume, p_idx, text`` and ``volume, labels``. The sentences with their
-    matches are written once; both sides of the agreement join and the scores read them."""
-    c = cut(candidates(texts), "sentences")
+    matches and the labels are written once; both sides of the agreement join and the scores read them."""
+    c, fused = cut(candidates(texts), "sentences"), cut(fused.select("volume", "labels"), "labels")
     return report(scored(c, agreement(c, cfg.agree_ngram, cfg.agree_at), fused, cfg=cfg), fused, cfg=cfg)

@@ -289,3 +289,10 @@ def test_orders_and_ends(spark):
         regions.shuffled(F.col("names"), F.col("k"), 3).alias("n"), T.shuffled_sentences(F.col("t"), F.col("k"), 3).alias("s"), arrays.ended(F.col("ids"), F.lit(2), 9).alias("e"), arrays.ended(F.col("ids"), F.lit(4), 9).alias("f")
     ).first()
     assert sorted(r.n) == ["a", "b", "c", "d"] and sorted(r.s.split(" ")) == ["One.", "Three.", "Two."] and r.e == [5, 6, 9, 0] and r.f == [5, 6, 0, 0]
+
+
+def test_meteor_with_a_table_of_synonyms(spark):
+    df = spark.createDataFrame([("the big nodule", "the large nodule")], "r string, h string")
+    table = spark.createDataFrame([("big", "c1"), ("large", "c1"), ("large", "c2")], "word string, concept string")
+    plain, full = (nlg.row_stats(df, "r", "h", t).first().meteor for t in (None, table))
+    assert full == nlg.meteor(["the", "big", "nodule"], ["the", "large", "nodule"], synonyms={"big": "c1", "large": "c1"}) > plain
