@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -21,9 +22,9 @@ def words(text: str) -> list[str]:
     return (_ASCII if text.isascii() else _ANY).findall(text)
 
 
-def spots(text: str) -> list[tuple[str, int, int]]:
+def spots(text: str) -> Iterator[tuple[str, int, int]]:
     """Words as they stand, with their places."""
-    return [(m.group(), m.start(), m.end()) for m in (_MIXED if text.isascii() else _ANY).finditer(text)]
+    return ((m.group(), m.start(), m.end()) for m in (_MIXED if text.isascii() else _ANY).finditer(text))
 
 
 @lru_cache(200_000)

@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pandas as pd
@@ -64,38 +65,41 @@ FEATURES = ("link", "links", "tag", "nav", "offer", "phrase", "repeat", "top", "
 def describe(text: str) -> list[float]:
     """The features of one page, in the order of ``FEATURES``."""
     n = len(text)
-    link_spans = [m.span() for m in LINK.finditer(text)]
+    low = text.lower()
+    # every link has one of these
+    link_spans = [m.span() for m in LINK.finditer(text)] if "/" in text or "<" in text or "](" in text or "www." in low else []
     link = sum(e - s for s, e in link_spans)
-    rest = LINK.sub(" ", text) if link_spans else text
-    tag = sum(len(m) for m in TAG.findall(rest))
-    parts = [p.strip() for p in SPLIT.split(rest)]
-    parts = [p for p in parts if p]
-    words = WORD.findall(rest.lower())
+    rest = " ".join(text[a:b] for a, b in zip([0, *(e for _, e in link_spans)], [*(s for s, _ in link_spans), n])) if link_spans else text
+    tag = sum(map(len, TAG.findall(rest))) if "#" in rest else 0
+    parts = [p for p in map(str.strip, SPLIT.split(rest)) if p]
+    # no word reaches over the end of a part
+    of_parts = [WORD.findall(p.lower()) for p in parts]
+    words = list(chain.from_iterable(of_parts))
     k = len(words) or 1
-    pairs = Counter(zip(words, words[1:]))
-    keys = {p for p, c in pairs.items() if c >= 3 and p[0] not in STOP and p[1] not in STOP and not p[0][0].isdigit() and not p[1][0].isdigit()}
-    threes = Counter((words[i - 1], words[i + 1]) for i in range(1, len(words) - 1) if words[i] in STOP)
+    content = [w not in STOP for w in words]
+    pairs = list(zip(words, words[1:]))
+    keys = {p for p, c in Counter(pairs).items() if c >= 3 and p[0] not in STOP and p[1] not in STOP and not p[0][0].isdigit() and not p[1][0].isdigit()}
+    stops = [i for i, c in enumerate(content) if not c and 0 < i < len(words) - 1]
+    threes = Counter((words[i - 1], words[i + 1]) for i in stops)
     wide = {p for p, c in threes.items() if c >= 4 and p[0] not in STOP and p[1] not in STOP and not p[0][0].isdigit() and not p[1][0].isdigit()}
     covered = bytearray(len(words) + 1)
     if keys:
-        for i, p in enumerate(zip(words, words[1:])):
+        for i, p in enumerate(pairs):
             if p in keys:
                 covered[i] = covered[i + 1] = 1
     if wide:
-        for i in range(1, len(words) - 1):
-            if words[i] in STOP and (words[i - 1], words[i + 1]) in wide:
+        for i in stops:
+            if (words[i - 1], words[i + 1]) in wide:
                 covered[i - 1] = covered[i] = covered[i + 1] = 1
     same = Counter(p.lower() for p in parts)
     repeat = sum(len(p) * c for p, c in same.items() if c >= 3)
-    counts = Counter(w for w in words if w not in STOP and not w[0].isdigit())
+    counts = Counter([w for w in compress(words, content) if not w[0].isdigit()])
     top = sum(c for _, c in counts.most_common(4))
     nav = sum(len(m.group()) for m in NAV.finditer(text))
-    low = text.lower()
     near = [m.start() for m in OFFER.finditer(text)] if any(k in low for k in OFFERS) or _ART.search(low) else []
     offer = 0
     prose = short = 0
-    for p in parts:
-        w = WORD.findall(p.lower())
+    for p, w in zip(parts, of_parts):
         if near and OFFER.search(p):
             offer += len(p)
         if len(w) >= 6 and not STOP.isdisjoint(w):
@@ -107,7 +111,7 @@ def describe(text: str) -> list[float]:
         offer = max(offer, sum(b - a for a, b in zip(near, near[1:]) if b - a <= 90))
     return [
         link / n, len(link_spans) / (1 + n / 100), tag / n, nav / n, offer / n, sum(covered) / k, repeat / n, top / k, len(counts) / k,
-        digits / n, sum(map(STOP.__contains__, words)) / k, prose / n, short / n, float(np.log1p(n)),
+        digits / n, (len(words) - sum(content)) / k, prose / n, short / n, float(np.log1p(n)),
     ]
 
 

@@ -23,6 +23,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -48,6 +50,7 @@ NOTHING = frozenset("nan none null n/a na n.a nil unk <unk> answer report findin
 
 OMISSION = re.compile(r"(?:\[\s*(?:\.{2,}+|…)\s*\]|\(\s*(?:\.{2,}+|…)\s*\)|(?<!\.)\.{2,}+|…)\s*\Z")
 FINISHED = re.compile(r"[.!?。！？।॥؟۔][\"“”»」』)\]’'\s]*+\Z")
+_CLOSING, _STOPS = "\"“”»」』)]’'", frozenset(".!?。！？।॥؟۔")
 PIECE = re.compile(r"\d+(?:[.,x×]\d+)*|[぀-ヿ㐀-鿿฀-๿]|[^\W\d_]+(?:[̀-ͯऀ-ॣً-ٟ]+\w*)*|[^\w\s]")
 HEADER_CUT = re.compile(r"the\s+region(?:\s+\d+(?:\s+is(?:\s+[a-z]+){0,4})?)?\s*\Z", re.I)
 DENSE = re.compile(r"[぀-ヿ㐀-鿿฀-๿]")
@@ -87,7 +90,16 @@ def omission(text: str) -> re.Match | None:
 
 def stops(text: str) -> bool:
     """Does a stripped text end with a final stop that is no mark of omission?"""
-    return FINISHED.search(text) is not None and omission(text) is None
+    return final_stop(text) >= 0 and omission(text) is None
+
+
+def final_stop(text: str) -> int:
+    """Where the stop stands after which a text has closing marks and white space only, or -1."""
+    while True:
+        bare = text.rstrip().rstrip(_CLOSING)
+        if len(bare) == len(text):
+            return len(text) - 1 if text and text[-1] in _STOPS else -1
+        text = bare
 
 
 def tail(unit: str, k: int) -> list[str]:
@@ -103,7 +115,8 @@ def tail(unit: str, k: int) -> list[str]:
 
 def closings(unit: str) -> list[int]:
     """Hashes of the last words of a finished sentence, four and three pieces long."""
-    unit = FINISHED.sub("", unit)
+    if (at := final_stop(unit)) >= 0:
+        unit = unit[:at]
     t = tail(unit, 4)
     if DENSE.search(unit[-3:] or " "):
         return [_hash("d", t)]
@@ -127,7 +140,7 @@ class Judge:
             u = text[s:e]
             if u[-1] == ":" and HARD.fullmatch(u):
                 continue
-            if FINISHED.search(u) and not omission(u) and self.open_mark(u) is None:
+            if final_stop(u) >= 0 and not omission(u) and self.open_mark(u) is None:
                 out.append(u)
             elif n + 1 < len(spans) and DENSE.search(u[-1]):
                 out.append(u)  # in Thai the blank before the next unit is the only sign
@@ -163,18 +176,20 @@ class Judge:
         last = bare[spans[-1][0] : spans[-1][1]] if spans else ""
         if HARD.fullmatch(last):
             return "cut", bare, []
-        end = FINISHED.search(bare)
-        if end and not marked or end and bare[-1] not in ".":
-            stem = bare[: end.start()]
-            word = re.search(r"[^\s(\[\"“„«]*\Z", stem).group()
+        end = final_stop(bare)
+        if end >= 0 and (not marked or bare[-1] != "."):
+            at = end
+            while at > 0 and not bare[at - 1].isspace() and bare[at - 1] not in "([\"“„«":
+                at -= 1
+            word = bare[at:end]
             if self.open_mark(last):
                 return "cut", bare, []
-            if bare[end.start()] == "." and word and word[-1].isalpha() and self.split._is_abbreviation(bare, word):
+            if bare[end] == "." and word and word[-1].isalpha() and self.split._is_abbreviation(bare, word):
                 return "cut", bare, []
-            if bare[end.start() :].strip() == "." and word.isdigit():
+            if bare[end:].strip() == "." and word.isdigit():
                 return "open", bare, closings(last)
             return "whole", bare, []
-        if end and self.open_mark(last) is None:
+        if end >= 0 and self.open_mark(last) is None:
             return "whole", bare, []
         if self.open_mark(last) or HEADER_CUT.search(last):
             return "cut", bare, []
@@ -253,12 +268,21 @@ def _classes(table: DataFrame, real: Column | bool = True) -> DataFrame:
 LONGER, END, CUT = "longer", "end", "cut"
 
 
+@lru_cache(2_000)
+def _bare(text: str) -> tuple[str, list[tuple[str, int, int]]]:
+    """A text without its mark of omission, and its words with their places."""
+    text = text.rstrip()
+    m = OMISSION.search(text)
+    text = text[: m.start()].rstrip() if m else text
+    return text, list(nc.spots(text))
+
+
 def align(short: str, full: str, abbreviation: dict[str, bool]) -> str | None:
     """How ``short`` ends against ``full``: ``cut`` inside a word or sentence of ``full``, ``end``
     at the end of one of its sentences, or None if the two are no copies."""
-    m = OMISSION.search(short.rstrip())
-    bare = short.rstrip()[: m.start()].rstrip() if m else short.rstrip()
-    spots, whole = nc.spots(bare), nc.spots(full)
+    bare, spots = _bare(short)
+    # no later word of the other copy is looked at
+    whole = list(islice(nc.spots(full), len(spots) + most_edits(len(spots)) + 2))
     a, b = [x[0].lower() for x in spots], [x[0].lower() for x in whole]
     if len(a) <= HEAD or len(b) < len(a):
         return None
