@@ -128,3 +128,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All retained labels of each row, with their posteriors."""
     return pairs.labels(table(spark, sf_dir, "predictions"))
+
+
+@query("p1_cutoffs")
+def p1_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The validated cutoff of each label with its precision and recall."""
+    return pairs.cutoffs(table(spark, sf_dir, "predictions"))
