@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarry import lexicon, schemas
 from quarry.config import DEFAULT
 from quarry.functions import arrays, text
-from quarry.operators import align, audit, bootstrap, candidates, classification, diff, fusion, nlg, regions, sampling, tables, tensors, texthead
+from quarry.operators import align, audit, bootstrap, candidates, classification, diff, fusion, nlg, regions, sampling, seams, tables, tensors, texthead
 from quarry.plans.durable import cut, shared_dir
 from quarry.plans.number import numbered
 from quarry.plans.workers import importable
@@ -1081,3 +1081,63 @@ def shard_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = shards.read_shards(spark, folder)
     path = F.get_json_object(F.col("content").cast("string"), "$.image_path")
     return back.join(written.select("shard"), "shard").select("shard", "idx", path.alias("image_path"))
+
+
+# ---------------------------------------------------------------- seams and small files
+
+
+@query("metrics_file", "SELECT Condition, Precision, Recall, F1 FROM condition_metrics")
+def metrics_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of the conditions written as CSV and read back; absent numbers stay null."""
+    path = f"{shared_dir(spark)}/metrics-{uuid.uuid4().hex}"
+    sinks.write_csv(table(spark, sf_dir, "condition_metrics").select("Condition", "Precision", "Recall", "F1"), path)
+    return src.read_metrics(spark, path)
+
+
+@query("appended_csv", "SELECT sample_id, count(*) AS n FROM (SELECT sample_id FROM predictions UNION ALL SELECT sample_id FROM predictions WHERE split = 'test') GROUP BY sample_id")
+def appended_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows appended to a CSV folder that holds others."""
+    path = f"{shared_dir(spark)}/appended-{uuid.uuid4().hex}"
+    rows = predictions(spark, sf_dir).select("sample_id", "volume_name", "GT_combined_report", "Pred_combined_report", "split")
+    sinks.write_csv(rows.drop("split"), path)
+    sinks.append_csv(rows.filter("split = 'test'").drop("split"), path)
+    return src.read_csv(spark, path, schemas.PREDICTIONS_A).groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("training_texts", "SELECT GT_combined_report AS text FROM predictions WHERE GT_combined_report IS NOT NULL")
+def training_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second column where there is none of the known name, without nulls."""
+    return src.training_texts(predictions(spark, sf_dir).select("sample_id", "GT_combined_report"))
+
+
+def _lengths(texts: list[str]) -> list[list[float]]:
+    """A stand-in for a classifier: probabilities from the length of a text."""
+    return [[(len(t) + i) % 10 / 10 for i in range(18)] for t in texts]
+
+
+@query("model_labels", "SELECT sample_id, list_transform(range(0, 18), lambda i: ((length(Pred_combined_report) + i) % 10 / 10.0::DOUBLE > 0.5)::INT) AS labels FROM predictions WHERE Pred_combined_report IS NOT NULL")
+def model_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels by a model that is called with batches of texts."""
+    rows = predictions(spark, sf_dir).filter("Pred_combined_report is not null")
+    return labels.model_labels(rows, "sample_id", "Pred_combined_report", _lengths)
+
+
+@query("generated_texts", """SELECT sample_id, k::INT AS k, round(0.7 + 0.3 * k, 6) AS temperature, printf('%.1f ', 0.7 + 0.3 * k) || coalesce(Question, '') AS text FROM predictions, (SELECT unnest(range(0, 3)) AS k)""")
+def generated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of a generator at three temperatures, one for each question."""
+    got = seams.generated(predictions(spark, sf_dir), "sample_id", "Question", lambda ps, t: [f"{t:.1f} {p}" for p in ps], seams.schedule(3))
+    return got.withColumn("temperature", F.round("temperature", 6))
+
+
+@query("model_scores", "SELECT sample_id, length(Question)::DOUBLE AS score FROM predictions")
+def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of a model that is called with lists of texts."""
+    got = seams.scored(predictions(spark, sf_dir).select("sample_id", "Question"), "Question", lambda ts: [float(len(t)) for t in ts])
+    return got.select("sample_id", "score")
+
+
+@query("token_rows", f"""SELECT sample_id, list_transform(range(1, 33), lambda i: CASE WHEN i <= len(w) THEN w[i] ELSE 0 END) AS ids, list_transform(range(1, 33), lambda i: (i <= len(w))::INT) AS mask
+FROM (SELECT sample_id, list_transform(list_filter(string_split({_squeeze("coalesce(Question, '')")}, ' '), lambda x: x <> ''), lambda x: length(x)) AS w FROM predictions)""")
+def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids and masks of a tokenizer that is called text by text, cut and padded to 32."""
+    return seams.tokenized(predictions(spark, sf_dir), "sample_id", "Question", lambda t: [len(w) for w in t.split()], 32)
