@@ -1122,7 +1122,7 @@ def model_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.model_labels(rows, "sample_id", "Pred_combined_report", _lengths)
 
 
-@query("generated_texts", """SELECT sample_id, k::INT AS k, round(0.7 + 0.3 * k, 6) AS temperature, printf('%.1f ', 0.7 + 0.3 * k) || coalesce(Question, '') AS text FROM predictions, (SELECT unnest(range(0, 3)) AS k)""")
+@query("generated_texts", """SELECT sample_id, k::INT AS k, round(0.7::DOUBLE + 0.3::DOUBLE * k, 6) AS temperature, printf('%.1f ', 0.7 + 0.3 * k) || coalesce(Question, '') AS text FROM predictions, (SELECT unnest(range(0, 3)) AS k)""")
 def generated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of a generator at three temperatures, one for each question."""
     got = seams.generated(predictions(spark, sf_dir), "sample_id", "Question", lambda ps, t: [f"{t:.1f} {p}" for p in ps], seams.schedule(3))
