@@ -225,8 +225,9 @@ def _filed(ws: list[str], sketch: nc.Sketch) -> tuple[np.ndarray, np.ndarray, np
 COLUMNS = "id long, field string, state string, close array<long>, cls long, n int, bands array<long>, marks array<long>, codes array<short>, asked array<long>, bit long, code short, ends array<long>, counts array<int>"
 
 
-def _judged(texts: DataFrame, v: Verdicts) -> DataFrame:
-    """Texts with their state, class, keys and closings, as a table."""
+def _judged(texts: DataFrame, v: Verdicts, dealt: bool = False) -> DataFrame:
+    """Texts with their state, class, keys and closings, as a table. ``dealt``: they lie in enough
+    partitions already."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         judge, sketch = Judge(v), nc.Sketch(BANDS, ROWS, SHINGLE)
@@ -251,7 +252,7 @@ def _judged(texts: DataFrame, v: Verdicts) -> DataFrame:
                 rows.append((i, f, *seen[text]))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in COLUMNS.split(", ")])
 
-    return cut(spread(texts).mapInPandas(each, COLUMNS), "judged")
+    return cut((texts if dealt else spread(texts)).mapInPandas(each, COLUMNS), "judged")
 
 
 def _classes(table: DataFrame, real: Column | bool = True) -> DataFrame:
@@ -340,13 +341,13 @@ def _pairs(classes: DataFrame) -> DataFrame:
     return pairs.select("cls_s", "rep_f").join(classes.select(F.col("cls").alias("cls_s"), F.col("rep").alias("rep_s")), "cls_s")
 
 
-def examined(df: DataFrame, key: str, fields: Sequence[str], v: Verdicts | None = None, real: Column | bool = True) -> tuple[DataFrame, DataFrame]:
+def examined(df: DataFrame, key: str, fields: Sequence[str], v: Verdicts | None = None, real: Column | bool = True, dealt: bool = False) -> tuple[DataFrame, DataFrame]:
     """Every class of texts that are not blank, with its closings (a table), and ``id, field, cls,
     truncated`` of each text with the evidence as votes (1 cut, 0 whole, -1 silent): by its marks,
     closing words, and copies. Rows for which ``real`` (on ``id``) is false are judged by the others."""
     texts = _texts(df, key, fields)
     v = v or verdicts(texts.select("text"))
-    table = _judged(texts, v)
+    table = _judged(texts, v, dealt)
     classes = _classes(table, real)
     ends = classes.filter("real").select(F.explode(F.arrays_zip("ends", "counts")).alias("z")).groupBy(F.col("z.ends").alias("h")).agg(F.sum("z.counts").alias("seen"))
     least = max(SEEN, RATE * classes.filter("real").count())
