@@ -4,8 +4,10 @@ Every text gets a fingerprint of its word sequence and minwise hashes of its wor
 bands. Rows of one fingerprint form a class, so that copies are sketched, joined and compared once.
 Only bands shared by a training class and an evaluation class make candidates. Bands are joined
 within ranges of length, so that a band with many classes falls into parts; classes whose lengths
-rule out the distance never meet. Candidates are verified by exact Jaccard similarity of their
-shingles and then by exact word edit distance.
+rule out the distance never meet. Texts of one template share bands by chance, in numbers that grow
+with the square of the corpus. The join itself tells them apart by parities of their word counts: an
+edit changes at most two of these, so no pair within the distance is lost. The candidates left are
+verified by exact Jaccard similarity of their shingles and then by exact word edit distance.
 
 A pair that differs in at most 8 % of the longer text's words keeps a shingle similarity of about
 0.6 or more at three words a shingle in the worst case (every edit in shingles of its own); 32
@@ -48,7 +50,7 @@ RANGE = 4
 
 
 def _sketched(df: DataFrame, train: str, held: tuple[str, ...]) -> DataFrame:
-    """``tbl, id, side, cls, n, bands`` of every text that is long enough."""
+    """``tbl, id, side, cls, n, odd, bands`` of every text that is long enough."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sketch = nc.Sketch(BANDS, ROWS, SHINGLE)
@@ -58,14 +60,14 @@ def _sketched(df: DataFrame, train: str, held: tuple[str, ...]) -> DataFrame:
             for tbl, i, side, text in zip(b["tbl"], b["id"], b["side"], b["text"]):
                 if text not in seen:
                     ws = nc.words(text)
-                    seen[text] = (nc.fingerprint(ws), len(ws), sketch.keys(ws)) if len(ws) >= LEAST else None
+                    seen[text] = (nc.fingerprint(ws), len(ws), nc.parities(ws), sketch.keys(ws)) if len(ws) >= LEAST else None
                 if seen[text]:
                     rows.append((tbl, i, side, *seen[text]))
-            yield pd.DataFrame(rows, columns=["tbl", "id", "side", "cls", "n", "bands"])
+            yield pd.DataFrame(rows, columns=["tbl", "id", "side", "cls", "n", "odd", "bands"])
 
     side = F.when(F.col("split") == train, "t").when(F.col("split").isin(*held), "e")
     texts = df.select("tbl", "id", side.alias("side"), "text").filter(f"side is not null and length(text) >= {2 * LEAST - 1}")
-    return spread(texts).mapInPandas(each, "tbl string, id long, side string, cls long, n int, bands array<long>")
+    return spread(texts).mapInPandas(each, "tbl string, id long, side string, cls long, n int, odd array<long>, bands array<long>")
 
 
 @F.pandas_udf(BooleanType())
@@ -82,16 +84,24 @@ def _classes(df: DataFrame, train: str, held: tuple[str, ...]) -> tuple[DataFram
     df = df.select("tbl", F.col("id").cast("long").alias("id"), "split", "text")
     rows = cut(_sketched(df, train, held), "sketches")
     members = rows.select("tbl", "cls", "side", "id").distinct()
-    classes = rows.groupBy("tbl", "cls", "side").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    flat = classes.select("tbl", "side", "cls", "rep", "n", F.explode("bands").alias("key"))
+    classes = rows.groupBy("tbl", "cls", "side").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "odd", "bands")))
+    fold = [F.expr(" ^ ".join(f"odd[{j}]" for j in range(i, nc.WIDTH, 2))).alias(f"odd{i}") for i in (0, 1)]
+    flat = classes.select("tbl", "side", "cls", "n", *fold, F.explode("bands").alias("key"))
     # lengths on a scale on which the allowed difference is less than 1
     place = F.log("n") / math.log(1 / (1 - SHARE) + 1e-6)
     at = lambda x: F.floor(x / RANGE).cast("int")
     sides = {"t": at(place), "e": F.explode(F.array_distinct(F.array(at(place - 1), at(place + 1))))}
-    t, e = (flat.filter(F.col("side") == s).select("tbl", "key", sides[s].alias("range"), *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "rep", "n"))) for s in "te")
-    far = F.abs(F.col("n_t") - F.col("n_e")) > F.greatest("n_t", "n_e") * SHARE
-    pairs = t.join(e, ["tbl", "key", "range"]).filter(~far).groupBy("tbl", "cls_t", "cls_e").agg(F.first("rep_t").alias("rep_t"), F.first("rep_e").alias("rep_e"))
-    pairs = cut(pairs, "candidates")
+    t, e = (flat.filter(F.col("side") == s).select("tbl", "key", sides[s].alias("range"), *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "odd0", "odd1"))) for s in "te")
+    most = F.greatest("n_t", "n_e") * SHARE + 1e-9
+    differ = lambda x, y: F.bit_count(x.bitwiseXOR(y))
+    folded = sum(differ(F.col(f"odd{i}_t"), F.col(f"odd{i}_e")) for i in (0, 1))
+    near = (F.abs(F.col("n_t") - F.col("n_e")) <= most) & (folded <= 2 * F.floor(most))
+    pairs = t.join(e, ["tbl", "key", "range"]).filter(near).select("tbl", "cls_t", "cls_e").distinct()
+    for s in "te":
+        side = classes.filter(F.col("side") == s)
+        pairs = pairs.join(side.select("tbl", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "rep", "n", "odd"))), ["tbl", f"cls_{s}"])
+    whole = sum(differ(F.col("odd_t")[i], F.col("odd_e")[i]) for i in range(nc.WIDTH))
+    pairs = cut(pairs.filter(whole <= 2 * F.floor(most)).select("tbl", "cls_t", "cls_e", "rep_t", "rep_e"), "candidates")
 
     same = pairs.filter("cls_t = cls_e").select("tbl", "cls_t", "cls_e")
     other = pairs.filter("cls_t <> cls_e")

@@ -3,6 +3,7 @@
 import random
 from itertools import product
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -51,6 +52,31 @@ def brute(rows):
     return out
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 30), max_size=60), st.lists(st.integers(0, 30), max_size=60))
+def test_parities_never_exceed_twice_the_distance(a, b):
+    a, b = ([f"w{x}" for x in y] for y in (a, b))
+    x, y = (np.array(nc.parities(z), np.int64) for z in (a, b))
+    assert len(x) == nc.WIDTH and np.bitwise_count((x ^ y).view(np.uint64)).sum() <= 2 * levenshtein(a, b)
+
+
+def test_template_texts_are_no_candidates(spark, monkeypatch):
+    """Texts that fill one template with other words share bands by chance; none is compared in Python."""
+    rnd = random.Random(7)
+    template = [f"s{i}" for i in range(60)]
+    rows = []
+    for i in range(200):
+        ws = template[:]
+        for k in rnd.sample(range(60), 12):
+            ws[k] = f"v{rnd.randrange(10**6)}"
+        rows.append(("a", i, "train" if i % 2 else "valid", " ".join(ws)))
+    kept, cut = {}, overlaps.cut
+    monkeypatch.setattr(overlaps, "cut", lambda df, name: kept.setdefault(name, cut(df, name)))
+    got = overlaps.cross_split_pairs(spark.createDataFrame(rows, "tbl string, id long, split string, text string"))
+    assert {tuple(r) for r in got.collect()} == brute(rows)
+    assert kept["candidates"].count() < 20
+
+
 def test_overlaps_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(overlaps, "PART", 2)
     rnd = random.Random(4)
