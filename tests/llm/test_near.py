@@ -217,6 +217,18 @@ def test_filters_keep_what_the_alignment_accepts(spark):
     assert len(want) > 40 and want <= got
 
 
+def test_texts_filed_together_as_alone(monkeypatch):
+    rnd = random.Random(3)
+    sizes = [*range(45), 79, 80, 81, 320, tr.AT_ONCE - 1, tr.AT_ONCE, tr.AT_ONCE + 1]
+    texts = [[f"w{rnd.randrange(40)}" for _ in range(n)] for n in rnd.sample(sizes, len(sizes))]
+    sketch = nc.Sketch(tr.BANDS, tr.ROWS, tr.SHINGLE)
+    alone, calls = [tr._filed(ws, sketch) for ws in texts], []
+    monkeypatch.setattr(tr, "_filed", lambda ws, s, f=tr._filed: calls.append(len(ws)) or f(ws, s))
+    for a, b in zip(alone, tr._all_filed(texts, sketch), strict=True):
+        assert all(x.shape == y.shape and x.dtype == y.dtype and (x == y).all() for x, y in zip(a, b, strict=True))
+    assert sorted(calls) == [*range(tr.HEAD), tr.AT_ONCE + 1]  # all others went together
+
+
 def test_repeated_sentences_across_splits(spark):
     """A text of one repeated sentence has few distinct shingles, yet few edits leave it near."""
     base = "the lung is quite clear".split() * 10

@@ -1,6 +1,8 @@
 """Sentence units on hand-marked texts."""
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from quarry.llm import sentences as S
 
@@ -107,3 +109,13 @@ def test_words_of_any_length(spark):
     assert cut_by(f"Here is the {long}. Medius is clear.", corpus) == [f"Here is the {long}. Medius is clear."]
     df = spark.createDataFrame([(f"The {long}. inferior is clear. " * 9,)], "text string")
     assert S.verdicts(df).abbreviation[long]
+
+
+HARD_PARTS = ["the region 0 is lung:", "The  region\n\n3 IS heart muscle :", "\n", "\r\n", "\n\n", " ", "\r\n \r\n", "the region", "region 1 is", "İ", "the\x1cregion 2 is pleura:", "word. ", "\x85\n \n"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(HARD_PARTS), max_size=12))
+def test_headers_and_blank_lines_as_the_expression_has_them(parts):
+    text = "".join(parts)
+    assert S.hard(text) == [m.span() for m in S.HARD.finditer(text)]
