@@ -167,3 +167,13 @@ def test_links_and_tags_of_any_length():
     assert share("Next we compare both lungs with care. They differ.", "nav") == 0
     for t in ("ART12345 ", "ARTNO99812 ", "art. no. 123 ", "SKU: 991 "):
         assert share(t * 4, "offer") > 0.7, t
+
+
+def test_triples_of_a_word_are_looked_up_once_for_a_question(monkeypatch):
+    question, calls = pairs.Asked("Describe the lung of the patient"), []
+    monkeypatch.setattr(pairs, "triples", lambda w, f=pairs.triples: calls.append(w) or f(w))
+    ws = ["the", "lung", "is", "clear", "the", "lung"] * 3
+    of_words = [x for w in ws for x in pairs.triples.__defaults__[0](w)]
+    assert question.within(ws) == sum(x in question.triples for x in of_words) / len(of_words)
+    assert sorted(calls) == ["clear", "is", "lung", "the"]
+    assert question.found(ws) == len(question.triples.intersection(of_words)) / len(question.triples)
